@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import html_text, pii, quality, url_filter
 from .common import table
 
+#: The rule list of the contract.
+URL_RULES = [
+    url_filter.UrlRule.parse("allow", "org/"),
+    url_filter.UrlRule.parse("block", "example.org/es/"),
+    url_filter.UrlRule.parse("block", "example.org/en/1"),
+    url_filter.UrlRule.parse("allow", "com/fr/"),
+    url_filter.UrlRule.parse("block", "com/de/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -15,7 +29,31 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    said = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    base = F.filter("spans", lambda x: x["kind"].isin("email", "ip", "card", "phone"))
+    return found.select(
+        "doc_id", *(count(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
+        F.coalesce(F.array_min(F.transform("spans", lambda x: x["score"])), F.lit(1.0)).alias("least_score"),
+    )
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
+    "op5_html_extraction": op5_html_extraction,
+}
 
 _STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(quality.STOP_WORDS)))
 
