@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_filters, queries_matching, queries_tokens
+from . import queries_filters, queries_matching, queries_models, queries_tokens
 
-_MODULES = (queries_filters, queries_matching, queries_tokens)
+_MODULES = (queries_filters, queries_matching, queries_models, queries_tokens)
 
 
 def queries() -> dict:

@@ -1,16 +1,20 @@
-"""Queries that match texts with each other: the Jaccard join."""
+"""Queries that match texts with each other or with the benchmark: Jaccard join, decontamination."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import decontaminate, jaccard
 from .common import table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {"op4_decontamination": op4_decontamination, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLE_SQL: dict[str, str] = {}
