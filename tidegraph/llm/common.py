@@ -70,7 +70,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: While a table is written: rows that go to a Python worker at once, and shuffle files removed when it is done.
+_WHILE_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+def materialise(df: DataFrame, name: str, rows_at_once: int = 1000) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     This cuts the lineage: a lost executor later costs a re-read, and values made by
@@ -78,10 +85,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    wanted = _WHILE_WRITING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows_at_once)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            release(df.sparkSession, folder)
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a folder under the shared root through Spark's own file system layer."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

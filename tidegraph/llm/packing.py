@@ -171,18 +171,17 @@ def pieces(
         seen: Counter[int] = Counter()
         names = ["doc_id", "piece", "start", "length", "tokens", "task", "nth"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for block in (b for batch in batches for b in encode.encode_rows(batch)):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode_many(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
+            for doc_id, ids in block:
+                whole = ids + end
+                for piece, at in enumerate(range(0, len(whole), 4 * size)):
+                    part = whole[at : at + 4 * size]
                     n = len(part) // 4
                     rows.append((doc_id, piece, at // 4, n, part, task, seen[n]))
                     seen[n] += 1
-            if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, tokens binary, task bigint, nth bigint"
     return materialise(narrow.mapInArrow(cut, schema), "pieces")

@@ -41,7 +41,8 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     written = materialise(token_store.write_tokens(documents, folder, vocabulary("byte_bpe_50k.json"), True), "shards")
     read = token_store.read_tokens(spark, folder, written)
-    return _with_crc(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    digests = _with_crc(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return materialise(digests, "digests")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +51,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(documents: DataFrame) -> DataFrame:
     packed = packing.pack(documents, vocabulary("word_bpe_49k.json"), False)
-    return _with_crc(
-        packed, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    )
+    wanted = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    return materialise(_with_crc(packed, wanted), "digests")
 
 
 QUERIES = {"op7_token_store": op7_token_store, "op8_best_fit_packing": op8_best_fit_packing}

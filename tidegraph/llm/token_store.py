@@ -194,8 +194,8 @@ def write_tokens(
         encode, end = encoder(vocabulary, keeps_space), np.array([END_ID], dtype="<u4").tobytes()
         sink = disk.open_output_stream(own)
         writer = ShardWriter(sink, unit)
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode_many(batch.column(1).to_pylist()), strict=True):
+        for block in (b for batch in batches for b in encode.encode_rows(batch)):
+            for doc_id, ids in block:
                 writer.add(doc_id, ids + end)
         writer.close()
         sink.close()
@@ -228,7 +228,7 @@ def read_tokens(spark: SparkSession, folder: str, written: DataFrame) -> DataFra
                     for doc_id, start, ids in Shard.open(source).documents():
                         held.append((doc_id, base + start, ids))
                         size += len(ids)
-                        if size >= 8 << 20:
+                        if size >= 4 << 20:
                             yield _rows(held)
                             held, size = [], 0
                     if held:
