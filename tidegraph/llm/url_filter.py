@@ -131,7 +131,7 @@ def _judge(tree: DataFrame) -> DataFrame:
     renamed = lambda df, p: df.select(*(F.col(c).alias(p + c if c in ("bad", "good") else c) for c in df.columns))
     parents = renamed(leaves.groupBy("host", "parent").agg(*total), "p_")
     hosts = renamed(leaves.groupBy("host").agg(*total), "h_")
-    corpus = renamed(hosts.agg(F.sum("h_bad").alias("bad"), F.sum("h_good").alias("good")), "c_")
+    corpus = hosts.agg(F.sum("h_bad").alias("bad"), F.sum("h_good").alias("good")).first()  # two numbers
 
     def smooth(bad: str, good: str, prior: Column) -> Column:
         return (F.col(bad) + SMOOTHING * prior) / (F.col(bad) + F.col(good) + SMOOTHING)
@@ -142,11 +142,9 @@ def _judge(tree: DataFrame) -> DataFrame:
     spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), seen) + F.try_divide(F.lit(1.0), others)))
     merged = F.coalesce(apart < SAME_Z * spread, apart == 0, F.lit(True))
     pick = lambda own, up: F.when(F.col("merged"), F.col(up)).otherwise(F.col(own))
-    corpus_rate = F.coalesce(F.try_divide(F.col("c_bad"), F.col("c_bad") + F.col("c_good")), F.lit(0.0))
-    # corpus is a single row, joined by a constant key and so always small enough to copy
+    corpus_rate = F.lit((corpus["bad"] or 0) / max(1, (corpus["bad"] or 0) + (corpus["good"] or 0)))
     verdicts = (
         leaves.join(parents, ["host", "parent"]).join(hosts, "host")
-        .withColumn("one", F.lit(1)).join(F.broadcast(corpus.withColumn("one", F.lit(1))), "one")
         .withColumn("merged", merged)
         .withColumn("bad", pick("bad", "p_bad")).withColumn("good", pick("good", "p_good"))
         .withColumn("purity", smooth("bad", "good", smooth("h_bad", "h_good", corpus_rate)))
