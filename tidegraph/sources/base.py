@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.relation import Relation
 from ..types import SPARK_TYPES
@@ -28,6 +30,15 @@ class Version:
 UNKNOWN = Version(known=False)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under a plan that no earlier load shares, so rows cached for an old version are not taken for it.
+
+    The condition is constant and goes when the plan is optimized.
+    """
+    token = uuid.uuid4().hex
+    return df.where(F.lit(token) == F.lit(token))
+
+
 class Source(ABC):
     @abstractmethod
     def describe(self) -> str: ...

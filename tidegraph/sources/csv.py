@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..operators.relation import Field, Relation
 from ..types import BOOL, FLOAT, INT, TEXT, EngineError
-from .base import Source, Version
+from .base import Source, Version, fresh
 
 BOM = chr(0xFEFF)
 #: How numbers and truth values are written.
@@ -136,7 +136,7 @@ def read_text(spark: SparkSession, text: str, source: str) -> Relation:
 
 def read_file(spark: SparkSession, path: str) -> Relation:
     """A table from a CSV file that Spark can read."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("at"))
+    lines = fresh(spark.read.text(path)).select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("at"))
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
     shape = lines.agg(F.max(quotes % 2).alias("open"), F.min(F.when(F.trim("value") != "", F.struct("at", "value"))).alias("head")).first()
     if shape["open"]:

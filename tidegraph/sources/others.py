@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from ..operators.relation import Relation, from_dataframe
 from ..types import EngineError
-from .base import UNKNOWN, Source, Version
+from .base import UNKNOWN, Source, Version, fresh
 from .csv import read_text
 
 TIMEOUT_SECS, MAX_BYTES, MAX_REDIRECTS = 30, 256 << 20, 5
@@ -106,7 +106,7 @@ class Parquet(Source):
         return f"Parquet at {self.path}"
 
     def load(self, spark: SparkSession) -> Relation:
-        df = spark.read.parquet(self.path)
+        df = fresh(spark.read.parquet(self.path))
         return from_dataframe(df.selectExpr(*self.columns) if self.columns else df)
 
     def version(self, spark: SparkSession) -> Version:
