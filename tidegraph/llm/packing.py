@@ -72,12 +72,15 @@ def reduce_dominated(lengths: dict[int, int], size: int = SIZE) -> tuple[list[Pa
         if pair <= room:
             break
         # at most one partner fits: the largest that does dominates the others
-        partner = order[bisect_right(order, room) - 1]
-        if partner == largest:
-            times = left[largest] // 2
-            take((largest, largest), times) if times else take((largest,), 1)
+        fitting = order[: bisect_right(order, room)]
+        if fitting[-1] == largest and left[largest] == 1:
+            fitting.pop()  # it is no partner of itself
+        if not fitting:
+            take((largest,), 1)
+        elif fitting[-1] == largest:
+            take((largest, largest), left[largest] // 2)
         else:
-            take((largest, partner), min(left[largest], left[partner]))
+            take((largest, fitting[-1]), min(left[largest], left[fitting[-1]]))
     return fixed, left
 
 

@@ -12,7 +12,7 @@ judges the rest:
 3. sibling templates whose labelled block rates cannot be told apart by a two-sample
    z test are merged into their parent;
 4. a template is rejected where its block rate, smoothed towards its host's and that
-   towards the corpus', reaches ``BLOCK_AT``.
+   towards the corpus', reaches ``BLOCK_AT`` on at least ``MIN_LABELS`` labelled urls.
 
 Only DataFrame operations run.  The tree holds templates, not urls; pages meet it in
 one equi-join on a narrow row whose tree side is unique, so adaptive execution can split
@@ -37,6 +37,8 @@ SAME_Z = 1.96
 #: Weight, in urls, of the host's rate for a template and of the corpus' rate for a host.
 SMOOTHING = 5.0
 BLOCK_AT = 0.8
+#: A template is rejected only on the evidence of so many labelled urls.
+MIN_LABELS = 3
 
 
 @dataclass(frozen=True)
@@ -148,13 +150,14 @@ def _judge(tree: DataFrame) -> DataFrame:
         .withColumn("merged", merged)
         .withColumn("bad", pick("bad", "p_bad")).withColumn("good", pick("good", "p_good"))
         .withColumn("purity", smooth("bad", "good", smooth("h_bad", "h_good", corpus_rate)))
-        .select("host", "template", "purity", "merged")
+        .withColumn("labels", F.col("bad") + F.col("good"))
+        .select("host", "template", "purity", "merged", "labels")
     )
     judged = tree.join(verdicts, ["host", "template"])
     shown = F.when(F.col("merged") & (F.col("template") != ""), F.concat_ws("/", F.nullif("parent", F.lit("")), F.lit("*")))
     return judged.select(
         "host", "chain", F.concat(F.lit("/"), F.coalesce(shown, F.col("template"))).alias("template"), "purity",
-        F.when(F.col("purity") >= BLOCK_AT, "block").otherwise("allow").alias("tree_verdict"),
+        F.when((F.col("purity") >= BLOCK_AT) & (F.col("labels") >= MIN_LABELS), "block").otherwise("allow").alias("tree_verdict"),
     )
 
 
