@@ -5,18 +5,17 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join runs in these steps:
 
 1. Documents with equal sets form one class, represented by its smallest id (a partial
    aggregate, so a class with a third of all rows is no hot spot).
-2. Representatives emit PartEnum signatures.  Sizes are divided into bands; linked sets
+2. Every set emits PartEnum signatures (a task's repeated sets once).  Sizes are divided into bands; linked sets
    lie in one band or in neighbours, and then differ in at most ``k`` elements.  Each
    band hashes the shingle domain into ``n1 = ceil((k + 1) / 2)`` parts, so some part
    differs in at most one element, and every part into three sub-parts, of which two
    are enumerated at a time: linked sets share a signature for certain.
 3. A bucket is the set of documents under one signature.  Buckets with the same members
-   count once.  Every member is compared with its bucket's smallest document only; the
-   verified links give first components.
-4. Buckets that still hold several components are compared exactly, in blocks of
-   bounded size, with documents of one component skipped.  A block pair first bounds the
-   distance of all its pairs from below by short sketches, then counts intersections,
-   and returns at most one link for each pair of components it merges.
+   count once.  Every member is compared with its bucket's smallest document only, and,
+   where the links found leave the bucket in several components, with its largest.
+4. Buckets that are still open are compared in blocks of bounded size: sketches bound
+   the distance of two sets from below, and only pairs of different components that
+   may link by that bound are verified.
 
 So no step emits the pairs of a group, and none loses a link that would join two
 components.  Signatures without elements are never emitted: a set that has one falls
@@ -24,14 +23,14 @@ back, in addition, to a second, third and fourth partitioning, and so does every
 agrees with it only there.
 
 An empty or null text has no shingles and links with nothing; a null id links with
-nothing and has a null component.  An id that is repeated counts as one document whose
-links are those of all its texts.  Other columns are ignored.
+nothing and has a null component.  An id names one text; rows that repeat both count as
+one document, and each row is returned.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +44,11 @@ from .components import connected_components
 BAND_GROWTH = 1.3
 SUB_PARTS = 3
 SEEDS = 4
-#: Elements that one block of the exact comparison may hold, and documents.
-BLOCK_ELEMENTS, BLOCK_DOCS = 2_000_000, 1024
-SKETCH_CELLS = 256
+#: Signatures are matched one slice of their range after the other, which divides the shuffled bytes on disk.
+SLICES = 4
+#: Bytes of sketches that one block of the exact comparison may hold, and documents.
+BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 1024
+CELLS_PER_EDIT = 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -79,7 +80,7 @@ class Scheme:
         if not 50 <= percent <= 100:
             raise ValueError("percent must lie between 50 and 100")
         self.percent = percent
-        growth = max(BAND_GROWTH, 100 / percent + 0.1)
+        growth = max(BAND_GROWTH, (100 / percent) ** 2)
         self._starts = [1]
         while self._starts[-1] < 1 << 40:
             self._starts.append(int(self._starts[-1] * growth) + 1)
@@ -136,70 +137,76 @@ class Scheme:
         return 100 * common >= self.percent * (len(a) + len(b) - common)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One byte per cell of the domain; sets differ in at least as many elements as cells of their sketches."""
-    cell = (hashes >> np.uint64(20)).astype(np.int64) % SKETCH_CELLS
-    low = np.bincount(cell, ((hashes >> np.uint64(40)) & np.uint64(0xFF)).astype(np.float64), SKETCH_CELLS)
-    return (low.astype(np.int64) & 0xFF).astype(np.uint8)
+def sketch(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """One bit per cell of the domain: whether it holds an odd number of elements.
 
+    Sets differ in at least as many elements as bits of their sketches.  The exclusive or
+    of the two halves of a sketch is the sketch of half as many cells.
+    """
+    cell = ((hashes >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8))
 
-def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+def sketch_cells(distance: int) -> int:
+    """Cells that tell sets apart which differ a little more than linked sets may; a power of two."""
+    return 1 << max(8, (CELLS_PER_EDIT * max(1, distance) - 1).bit_length())
 
-def shingle_keys(df: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2): the size of each set and a 128-bit key of its content (null: empty)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, k1, k2 = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_hashes(text, width)
-                sizes.append(len(found))
-                digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-                k1.append(digest and int.from_bytes(digest[:8], "little", signed=True))
-                k2.append(digest and int.from_bytes(digest[8:], "little", signed=True))
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, k1, k2))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2"])
+def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
 
-    return df.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
+def signed(df: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, sigs): size, 128-bit key and signatures of each set; an empty set has no key.
 
+    Of equal sets that one task meets, only the first gets signatures.
+    """
 
-def _signature_rows(df: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent)
+        scheme, met = Scheme(percent), set()
         for batch in batches:
-            ids, found, held = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = scheme.signatures(shingle_hashes(text, width))
-                ids.append(np.full(len(made), doc_id, dtype=np.int64))
-                found.append(made.view(np.int64))
-                held += len(made)
-                if held > 500_000:
-                    yield _columns(sig=np.concatenate(found), doc=np.concatenate(ids))
-                    ids, found, held = [], [], 0
-            if held:
-                yield _columns(sig=np.concatenate(found), doc=np.concatenate(ids))
-
-    return df.mapInArrow(run, "sig bigint, doc bigint")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, k1, k2, sigs = [], [], [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    found = shingle_hashes(text.as_py(), width)
+                    digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+                    sizes.append(len(found))
+                    k1.append(digest and int.from_bytes(digest[:8], "little", signed=True))
+                    k2.append(digest and int.from_bytes(digest[8:], "little", signed=True))
+                    fresh = digest is not None and doc_id is not None and digest not in met
+                    sigs.append(scheme.signatures(found).view(np.int64) if fresh else np.empty(0, np.int64))
+                    if fresh:
+                        met.add(digest)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
+                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in (sizes, k1, k2)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "sigs"])
+
+    return df.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+
+
+def _sets(df: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, n, items, sketch): the sorted hashes of each set as bytes, and its sketch."""
 
-
-def _columns(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
-
-
-def _sets(df: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
         for batch in batches:
-            found = [shingle_hashes(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "items"])
+            sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+            sketches = [sketch(x, sketch_cells(scheme.distance(2 * len(x)))).tobytes() for x in sets]
+            columns = [
+                batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(sketches, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "items", "sketch"])
 
-    return df.mapInArrow(run, "doc bigint, items binary")
+    return df.mapInArrow(run, "doc bigint, n bigint, items binary, sketch binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that link."""
-    left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
+    named = sets.select("doc", "items")
+    left, right = named.toDF("u", "a"), named.toDF("v", "b")
     joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,42 +222,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "u bigint, v bigint")
 
 
-def _compare_blocks(scheme: Scheme, docs: list[int], comps: list[int], items: list[np.ndarray], sides: list[int]) -> list[tuple]:
-    """Links between the components of a block pair, one for each merge."""
-    parent = {c: c for c in comps}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    sizes = np.array([len(x) for x in items])
-    sketches = np.stack([sketch(x) for x in items])
-    side = np.array(sides)
-    roots = np.array(comps)
-    out = []
-    for i in range(len(docs)):
-        if side[i] == 1 and 0 in sides:
-            continue
-        # block with itself: all later members; two blocks: the members of the other
-        other = np.arange(i + 1, len(docs)) if 0 not in sides or 1 not in sides else np.flatnonzero(side == 1)
-        other = other[roots[other] != comps[i]]
-        if not len(other):
-            continue
-        most = (100 - scheme.percent) * (sizes[other] + sizes[i]) // (100 + scheme.percent)
-        differ = np.count_nonzero(sketches[other] != sketches[i], axis=1)
-        for j in other[(differ <= most) & (np.abs(sizes[other] - sizes[i]) <= most)]:
-            if root(comps[i]) != root(comps[j]) and scheme.links(items[i], items[j]):
-                parent[root(comps[i])] = root(comps[j])
-                out.append((docs[i], docs[j]))
-    return out
-
-
-def _residual_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links in buckets (sig, doc, comp) that hold several components, by exact comparison of block pairs."""
-    per = members.join(sets, "doc").select("sig", "doc", "comp", "items", (F.length("items") / 8).alias("n"))
-    size = per.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("elements"))
-    blocks = F.ceil(F.greatest(F.col("docs") / F.lit(BLOCK_DOCS), F.col("elements") / F.lit(BLOCK_ELEMENTS)))
+def _near(scheme: Scheme, n: np.ndarray, comps: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member its partners in another component that the sketches cannot rule out.
+
+    Members of side 0 meet those of side 1; where only one side is given, each meets the later ones.
+    """
+    size = min(len(x) for x in sketches)
+    folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in sketches])
+    both = bool((side == 0).any() and (side == 1).any())
+    for i in np.flatnonzero(side == 0) if both else range(len(n)):
+        other = np.flatnonzero(side == 1) if both else np.arange(i + 1, len(n))
+        other = other[comps[other] != comps[i]]
+        most = (100 - scheme.percent) * (n[other] + n[i]) // (100 + scheme.percent)
+        other, most = (x[np.abs(n[other] - n[i]) <= most] for x in (other, most))
+        differ = np.bitwise_count(folded[other] ^ folded[i]).sum(axis=1, dtype=np.int64)
+        if len(near := other[differ <= most]):
+            yield i, near
+
+
+def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) in buckets (sig, doc, comp) that lie in two components and may link.
+
+    A bucket is cut into blocks of bounded size and every pair of blocks is compared by
+    sketches, a lower bound of the distance, so no linked pair is missed.
+    """
+    per = members.join(sets.select("doc", "n", "sketch"), "doc")
+    size = per.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("sketch")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("docs") / F.lit(BLOCK_DOCS), F.col("bytes") / F.lit(BLOCK_BYTES)))
     size = size.select("sig", blocks.cast("int").alias("blocks"))
     # Block pair (i, j), i <= j, gets block i as side 0 and block j as side 1 (a block with itself: side 0 only).
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
@@ -263,26 +261,36 @@ def _residual_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     )
     spread = (
         per.join(size, "sig").withColumn("own", own).withColumn("pair", F.explode(pairs))
-        .select("sig", "pair.i", "pair.j", "pair.side", "doc", "comp", "items")
+        .select("sig", "pair.i", "pair.j", "pair.side", "doc", "comp", "n", "sketch")
     )
 
     def run(table: pa.Table) -> pa.Table:
-        scheme = Scheme(percent)
-        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        names = ("doc", "comp", "side")
-        docs, comps, sides = (table.column(n).to_pylist() for n in names)
-        found = _compare_blocks(scheme, docs, comps, items, sides)
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
-
-    return spread.groupBy("sig", "i", "j").applyInArrow(run, "u bigint, v bigint")
-
-
-def _buckets(signatures: DataFrame) -> DataFrame:
-    """(sig, doc) of the buckets with two documents or more, one bucket for each set of members."""
+        docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "comp", "side", "n"))
+        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")]
+        found = list(_near(Scheme(percent), n, comps, side, sketches))
+        u = np.concatenate([np.full(len(o), docs[i]) for i, o in found]) if found else np.empty(0, np.int64)
+        v = np.concatenate([docs[o] for _, o in found]) if found else np.empty(0, np.int64)
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    return spread.groupBy("sig", "i", "j").applyInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _buckets(signatures: DataFrame, copies: DataFrame) -> DataFrame:
+    """(sig, doc) of the buckets with two classes or more, one bucket for each set of members.
+
+    ``copies`` gives the representative of documents that are none themselves.
+    """
+    parts = []
+    for number in range(SLICES):
+        part = signatures.where(F.pmod("sig", F.lit(SLICES)) == number)
+        shared = part.groupBy("sig").count().where("count > 1").select("sig")
+        rows = part.join(shared, "sig").join(copies, "doc", "left")
+        parts.append(materialise(rows.select("sig", F.coalesce("rep", "doc").alias("doc")).distinct(), "shared"))
+    rows = reduce(DataFrame.union, parts)
     marks = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    grouped = signatures.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), *marks)
+    grouped = rows.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), *marks)
     kept = grouped.where("low < high").groupBy("low", "high", "n", "x1", "x2").agg(F.min("sig").alias("sig"))
-    return signatures.join(materialise(kept.select("sig", "low"), "buckets"), "sig").select("sig", "doc", "low").distinct()
+    return rows.join(materialise(kept.select("sig"), "buckets"), "sig").select("sig", "doc")
 
 
 def jaccard_components(
@@ -290,31 +298,40 @@ def jaccard_components(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per input row."""
     documents = _narrow(df, id_col, text_col)
-    keys = materialise(shingle_keys(documents, width), "keys")
-    classes = materialise(keys.where("doc_id IS NOT NULL AND k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    made = materialise(signed(documents, width, percent), "signed")
+    keys = made.select("doc_id", "n_shingles", "k1", "k2")
+    known = keys.where("doc_id IS NOT NULL AND k1 IS NOT NULL")
+    classes = materialise(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    copies = known.join(classes.where("n > 1"), ["k1", "k2"]).where("doc_id <> rep")
+    copies = copies.select(F.col("doc_id").alias("doc"), "rep").distinct()
+    signatures = made.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
+    members = materialise(_buckets(signatures, copies), "members")
+
     named = documents.where("doc_id IS NOT NULL")
-    chosen = named.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    signatures = materialise(_signature_rows(chosen, width, percent), "signatures")
-    members = materialise(_buckets(signatures), "members")
-
-    stars = materialise(members.where("doc <> low").select(F.col("low").alias("u"), F.col("doc").alias("v")).distinct(), "stars")
-    needed = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = materialise(_sets(named.join(needed, "doc_id", "left_semi"), width), "sets")
-    links = materialise(_verified(stars, sets, percent), "links")
-    found = connected_components(links)
-
-    labelled = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "sig", "doc", F.coalesce("component", "doc").alias("comp")
-    )
-    labelled = materialise(labelled, "labelled")
-    open_buckets = labelled.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-    residual = materialise(labelled.join(open_buckets.select("sig"), "sig"), "residual")
-    if not residual.isEmpty():
-        more = materialise(_residual_links(residual, sets, percent), "links")
-        if not more.isEmpty():
-            found = connected_components(links.union(more))
-
-    with_rep = keys.join(classes, ["k1", "k2"], "left")
+    needed = members.select(F.col("doc").alias("doc_id")).distinct().hint("merge")
+    sets = materialise(_sets(named.join(needed, "doc_id", "left_semi"), width, percent), "sets")
+    found, links, residual = None, None, members.withColumn("comp", F.col("doc"))
+    # Two rounds of stars around the smallest and then the largest document of each open bucket, then everything left.
+    for leader in (F.min, F.max, None):
+        if leader is None:
+            pairs = _residual_pairs(residual, sets, percent)
+        else:
+            stars = residual.join(residual.groupBy("sig").agg(leader(F.struct("doc", "comp")).alias("lead")), "sig")
+            stars = stars.where(F.col("comp") != F.col("lead.comp"))
+            pairs = stars.select(F.least("doc", "lead.doc").alias("u"), F.greatest("doc", "lead.doc").alias("v")).distinct()
+        more = materialise(_verified(pairs, sets, percent), "links", 200)
+        links = more if links is None else links.union(more)
+        if found is None or not more.isEmpty():
+            found = materialise(connected_components(links), "components")
+        labelled = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
+            "sig", "doc", F.coalesce("component", "doc").alias("comp")
+        )
+        several = labelled.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+        residual = materialise(labelled.join(several.select("sig"), "sig"), "residual")
+        if leader is None or residual.isEmpty():
+            break
+
+    with_rep = keys.join(classes.drop("n"), ["k1", "k2"], "left")
     placed = with_rep.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return placed.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
