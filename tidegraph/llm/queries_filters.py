@@ -19,7 +19,8 @@ URL_RULES = [
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,72 @@ QUERIES = {
 
 _STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(quality.STOP_WORDS)))
 
+
+
+def _url_oracle() -> str:
+    """The whole method as SQL: rules, chains, one pair of subqueries per level of the tree, and the judgement."""
+    case = " ".join(
+        f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN {{'rule': '{r.text}', 'verdict': '{r.verdict}'}}"
+        for r in sorted(URL_RULES, key=lambda r: -len(r.text))
+    )
+    levels = ""
+    for d in range(1, url_filter.MAX_DEPTH + 1):
+        prefix, before = f"array_to_string(tpl[1:{d - 1}], '/')", f"t{d - 1}"
+        levels += f"""
+v{d} AS (
+  SELECT host, prefix FROM (
+    SELECT host, {prefix} AS prefix, tpl[{d}] AS seg, sum(n) AS n FROM {before}
+    WHERE len(tpl) >= {d} AND NOT contains(tpl[{d}], '*') GROUP BY ALL)
+  GROUP BY host, prefix HAVING count(*) >= {url_filter.MIN_CHILDREN} AND sum(n) <= {url_filter.MAX_MEAN_URLS} * count(*)),
+t{d} AS (
+  SELECT t.host, chain, n, bad, good,
+         CASE WHEN v.host IS NOT NULL AND len(tpl) >= {d} AND NOT contains(tpl[{d}], '*')
+              THEN tpl[1:{d - 1}] || ['*'] || tpl[{d + 1}:] ELSE tpl END AS tpl
+  FROM {before} t LEFT JOIN v{d} v ON t.host = v.host AND {prefix} = v.prefix),"""
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (
+  SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host
+  FROM u),
+m AS (SELECT *, CASE {case} END AS hit, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x <> '') AS parts FROM h),
+p AS (
+  SELECT page_id, host, path, hit.rule AS rule, hit.verdict AS label,
+         CASE WHEN len(parts) <= {url_filter.MAX_DEPTH} THEN parts ELSE parts[1:{url_filter.MAX_DEPTH}] || ['**'] END AS chain
+  FROM m),
+t0 AS (
+  SELECT host, chain, count(*) AS n, count(*) FILTER (label = 'block') AS bad, count(*) FILTER (label = 'allow') AS good, chain AS tpl
+  FROM p GROUP BY host, chain),{levels}
+named AS (SELECT host, chain, bad, good, array_to_string(tpl, '/') AS template, array_to_string(tpl[1:len(tpl) - 1], '/') AS parent FROM t{url_filter.MAX_DEPTH}),
+leaves AS (SELECT host, parent, template, sum(bad) AS bad, sum(good) AS good FROM named GROUP BY ALL),
+counts AS (
+  SELECT *, sum(bad) OVER (PARTITION BY host, parent) AS pb, sum(good) OVER (PARTITION BY host, parent) AS pg,
+         sum(bad) OVER (PARTITION BY host) AS hb, sum(good) OVER (PARTITION BY host) AS hg,
+         coalesce(sum(bad) OVER () / nullif(sum(bad + good) OVER (), 0), 0) AS rate
+  FROM leaves),
+rates AS (
+  SELECT *, pb / nullif(pb + pg, 0) AS pooled, bad + good AS seen, pb + pg - bad - good AS others,
+         abs(bad / nullif(bad + good, 0) - (pb - bad) / nullif(pb + pg - bad - good, 0)) AS apart
+  FROM counts),
+merging AS (
+  SELECT *, coalesce(apart < {url_filter.SAME_Z} * sqrt(pooled * (1 - pooled) * (1 / nullif(seen, 0) + 1 / nullif(others, 0))), apart = 0, true) AS merged
+  FROM rates),
+judged AS (
+  SELECT host, template, merged, CASE WHEN merged THEN pb ELSE bad END AS b, CASE WHEN merged THEN pg ELSE good END AS g,
+         (hb + {url_filter.SMOOTHING} * rate) / (hb + hg + {url_filter.SMOOTHING}) AS prior
+  FROM merging),
+tree AS (
+  SELECT n.host, chain, '/' || CASE WHEN merged AND n.template <> '' THEN CASE WHEN parent = '' THEN '*' ELSE parent || '/*' END ELSE n.template END AS template,
+         CASE WHEN (b + {url_filter.SMOOTHING} * prior) / (b + g + {url_filter.SMOOTHING}) >= {url_filter.BLOCK_AT} AND b + g >= {url_filter.MIN_LABELS}
+              THEN 'block' ELSE 'allow' END AS verdict
+  FROM named n JOIN judged j ON n.host = j.host AND n.template = j.template)
+SELECT page_id, p.host, path, rule, coalesce(label, tree.verdict, 'allow') AS verdict, template
+FROM p LEFT JOIN tree ON p.host = tree.host AND p.chain = tree.chain
+"""
+
+
 ORACLE_SQL = {
+    "op1_url_filters": _url_oracle(),
     "op2_quality_rules": rf"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x,
