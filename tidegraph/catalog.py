@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import verbs
-from .operators.relation import Relation, from_dataframe
+from .operators.relation import Relation
 from .operators.verbs import Agg, JoinSpec, Step
 from .plans import sql as dialect
+from .sources.others import read_parquet
 
 #: Projections that make a driver table fit the four column types; other tables are taken whole.
 PROJECTIONS = {
@@ -32,8 +33,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> Relation:
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return from_dataframe(df.selectExpr(*PROJECTIONS[table]) if table in PROJECTIONS else df)
+    return read_parquet(spark, f"{sf_dir}/{table}.parquet", PROJECTIONS.get(table))
 
 
 def _add(name: str, oracle: str, build: Callable[[Callable[[str], Relation]], Relation]) -> None:

@@ -60,14 +60,17 @@ class Relation:
         return self.df.count()
 
 
-def from_dataframe(df: DataFrame, order_by: list[str] | None = None) -> Relation:
+def from_dataframe(df: DataFrame, order_by: list[str] | None = None, places: list[str] | None = None) -> Relation:
     """Adopt a DataFrame: integers widen to int, floats to float, text and bool stay.
 
-    Rows keep the order of the scan, or that of ``order_by`` and then the scan.  Columns of
-    any other type are refused by name, with the cast to write.
+    Rows keep the order of the scan, or that of ``order_by`` and then the scan.  ``places``
+    names hidden columns that number the rows of the scan; without them the rows are numbered
+    here, which keeps filters from reaching the scan.  Columns of any other type are refused
+    by name, with the cast to write.
     """
     fields, columns = [], []
-    for i, column in enumerate(df.schema.fields):
+    places = places or []
+    for i, column in enumerate(f for f in df.schema.fields if f.name not in places):
         kind = column_type(column.dataType)
         if kind is None:
             raise EngineError(
@@ -77,8 +80,9 @@ def from_dataframe(df: DataFrame, order_by: list[str] | None = None) -> Relation
         fields.append(Field(column.name, kind, f"c{i}"))
         columns.append(df[column.name].cast(SPARK_TYPES[kind]).alias(f"c{i}"))
     before = [df[name].alias(f"o{i}") for i, name in enumerate(order_by or [])]
-    scan = F.monotonically_increasing_id().alias(f"o{len(before)}")
-    return Relation(df.select(*columns, *before, scan), tuple(fields), tuple(f"o{i}" for i in range(len(before) + 1)))
+    scan = [df[p] for p in places] or [F.monotonically_increasing_id()]
+    keys = [*before, *(c.alias(f"o{len(before) + i}") for i, c in enumerate(scan))]
+    return Relation(df.select(*columns, *keys), tuple(fields), tuple(f"o{i}" for i in range(len(keys))))
 
 
 def sort_columns(column: Column, kind: str, descending: bool) -> list[Column]:

@@ -95,6 +95,19 @@ class JdbcQuery(Source):
         return Version((row[0], row[1]))
 
 
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> Relation:
+    """A Parquet table whose rows are placed by file and row number, so that filters and projections reach the scan.
+
+    Neither place is read where no order is asked for.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    df = fresh(spark.read.parquet(path))
+    places = ["_metadata.row_index as __row"] if single else ["_metadata.file_path as __file", "_metadata.row_index as __row"]
+    shown = columns or [f"`{c}`" for c in df.columns]
+    return from_dataframe(df.selectExpr(*shown, *places), places=[p.rpartition(" ")[2] for p in places])
+
+
 @dataclass(frozen=True)
 class Parquet(Source):
     """A Parquet table; ``columns`` projects, which is also how to leave out columns of other types."""
@@ -106,8 +119,7 @@ class Parquet(Source):
         return f"Parquet at {self.path}"
 
     def load(self, spark: SparkSession) -> Relation:
-        df = fresh(spark.read.parquet(self.path))
-        return from_dataframe(df.selectExpr(*self.columns) if self.columns else df)
+        return read_parquet(spark, self.path, list(self.columns) if self.columns else None)
 
     def version(self, spark: SparkSession) -> Version:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
