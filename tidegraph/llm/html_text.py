@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -74,41 +75,44 @@ def _is_furniture(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, path of containers) for every block outside furniture."""
+    """Collects (text, tags, innermost container) for every block outside furniture; 0 is the page itself."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kinds: dict[int, str] = {}
-        self._open: list[tuple[str, bool, int]] = []  # name, furniture, container id or 0
-        self._path: tuple[int, ...] = ()
+        self.lines: list[tuple[str, int, int]] = []
+        self.kinds, self.parents = [""], [0]  # by container, in the order in which they open
+        self._open: list[tuple[str, bool, int]] = []  # name, furniture, container or 0
+        self._names: Counter[str] = Counter()  # of open elements
+        self._blocks: list[int] = []  # where open blocks lie in _open
+        self._within = 0
         self._shut = 0  # open furniture elements
         self._text: list[str] = []
         self._tags = 0
-        self._count = 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self._text).split()):
-            self.lines.append((text, self._tags, self._path))
+            self.lines.append((text, self._tags, self._within))
         self._text, self._tags = [], 0
 
     def _pop(self) -> None:
         name, furniture, container = self._open.pop()
+        self._names[name] -= 1
         if name in BLOCKS or furniture:
             self.flush()
+        if name in BLOCKS:
+            self._blocks.pop()
         self._shut -= furniture
         if container:
-            self._path = self._path[:-1]
+            self._within = self.parents[container]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self._open and tag in CLOSED_BY.get(self._open[-1][0], ()):
             self._pop()
-        if tag in BLOCKS:
-            # inline elements left open inside a paragraph do not keep it open
-            depth = next((i for i in range(len(self._open) - 1, -1, -1) if self._open[i][0] in BLOCKS), -1)
-            if depth >= 0 and tag in CLOSED_BY.get(self._open[depth][0], ()):
-                while len(self._open) > depth:
-                    self._pop()
+        # inline elements left open inside a paragraph do not keep it open
+        while tag in BLOCKS and self._blocks and tag in CLOSED_BY.get(self._open[self._blocks[-1]][0], ()):
+            depth = self._blocks[-1]
+            while len(self._open) > depth:
+                self._pop()
         furniture = tag in FURNITURE or (tag not in WHOLE and _is_furniture(attrs))
         if tag in BLOCKS or furniture:
             self.flush()
@@ -119,11 +123,14 @@ class _Lines(HTMLParser):
             return
         container = 0
         if tag in CONTAINERS and not self._shut and not furniture:
-            self._count += 1
-            container = self._count
-            self.kinds[container] = tag
-            self._path += (container,)
+            container = len(self.kinds)
+            self.kinds.append(tag)
+            self.parents.append(self._within)
+            self._within = container
         self._shut += furniture
+        self._names[tag] += 1
+        if tag in BLOCKS:
+            self._blocks.append(len(self._open))
         self._open.append((tag, furniture, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -133,7 +140,7 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
-        if tag in VOID or not any(name == tag for name, _, _ in self._open):
+        if tag in VOID or not self._names[tag]:
             return
         while self._open[-1][0] != tag:
             self._pop()
@@ -161,23 +168,26 @@ def _high(ratios: list[float]) -> list[bool]:
     return [r >= min(spread, mean) for r in ratios]
 
 
-def _region(lines: list[tuple[str, int, tuple[int, ...]]], kinds: dict[int, str]) -> set[int]:
-    """The containers whose lines are content; empty: all lines are."""
+def _region(page: _Lines) -> list[bool]:
+    """Which containers hold content; the first entry is the page itself."""
+    lines, kinds, parents = page.lines, page.kinds, page.parents
     ratios = _smoothed([len(text) / (tags + 1) for text, tags, _ in lines])
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, path), high in zip(lines, _high(ratios), strict=True):
-        if high:
-            total += len(text)
-            for container in path:
-                weight[container] = weight.get(container, 0) + len(text)
-    marked = [c for c, w in weight.items() if kinds[c] == "article"] or [c for c in weight if kinds[c] == "main"]
+    weight = [0] * len(kinds)
+    for (text, _, container), high in zip(lines, _high(ratios), strict=True):
+        weight[container] += len(text) * high
+    for container in range(len(kinds) - 1, 0, -1):  # containers open after those around them
+        weight[parents[container]] += weight[container]
+    marked = [c for c, k in enumerate(kinds) if k == "article" and weight[c]] or [c for c, k in enumerate(kinds) if k == "main" and weight[c]]
     if marked:
-        best = max(weight[c] for c in marked)
         # several articles of a page are all content; teasers that hold little of its text are not
-        return {c for c in marked if 4 * weight[c] >= best}
-    inner = [c for c, w in weight.items() if w >= MAJORITY * total]
-    return {max(inner)} if inner else set()  # containers are numbered as they open, so the last is the innermost
+        best = max(weight[c] for c in marked)
+        chosen = {c for c in marked if 4 * weight[c] >= best}
+    else:
+        chosen = {max(c for c, w in enumerate(weight) if w >= MAJORITY * weight[0])}
+    held = [c in chosen for c in range(len(kinds))]
+    for container in range(1, len(kinds)):
+        held[container] = held[container] or held[parents[container]]
+    return held
 
 
 def extract(html: str | None) -> str:
@@ -188,11 +198,10 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if not lines:
+    if not parser.lines:
         return ""
-    region = _region(lines, parser.kinds)
-    return "\n".join(text for text, _, path in lines if not region or region.intersection(path))
+    held = _region(parser)
+    return "\n".join(text for text, _, container in parser.lines if held[container])
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
