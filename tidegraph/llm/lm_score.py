@@ -18,6 +18,7 @@ counted and scored each for itself.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +120,7 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     model = spark.sparkContext.broadcast((
         cells, losses(cells, g.astype(np.float64)).astype(np.float32), losses(cells, n.astype(np.float64)).astype(np.float32)
     ))
-    name = f"{spark.sparkContext.applicationId}-{id(model)}"
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, far = dense_tables(name, model)
