@@ -16,9 +16,11 @@ from .common import materialise
 MAX_ROUNDS = 100
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
-    return tuple(row)
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node with smaller neighbours has just one, which has none itself."""
+    if not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("u").count().where("count > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,8 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     kept = edges.where(F.col("u") != F.col("v"))
     now = materialise(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(now)
-    for _ in range(MAX_ROUNDS if before[0] else 0):
+    for _ in range(MAX_ROUNDS):
+        if _is_star(now):
+            break
         # large star: everything greater than a node moves to the smallest of its neighbourhood
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -41,12 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(
             moved.select("u", F.col("m").alias("v")))
         now = materialise(small.distinct(), "edges")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
     else:
-        if before[0]:
-            raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

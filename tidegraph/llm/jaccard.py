@@ -18,9 +18,10 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join runs in these steps:
    may link by that bound are verified.
 
 So no step emits the pairs of a group, and none loses a link that would join two
-components.  Signatures without elements are never emitted: a set that has one falls
-back, in addition, to a second, third and fourth partitioning, and so does every set that
-agrees with it only there.
+components.  Signatures without elements are not emitted: bands with small parts have
+spare parts, of which linked sets agree in as many more, and a set with more empty
+selections than that falls back, in addition, to a second, third and fourth partitioning,
+as does every set that agrees with it only in empty ones.
 
 An empty or null text has no shingles and links with nothing; a null id links with
 nothing and has a null component.  An id names one text; rows that repeat both count as
@@ -29,6 +30,7 @@ one document, and each row is returned.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .components import connected_components
 
 BAND_GROWTH = 1.3
@@ -80,7 +82,7 @@ class Scheme:
         if not 50 <= percent <= 100:
             raise ValueError("percent must lie between 50 and 100")
         self.percent = percent
-        growth = max(BAND_GROWTH, (100 / percent) ** 2)
+        growth = max(BAND_GROWTH, 100 / percent + 0.05)
         self._starts = [1]
         while self._starts[-1] < 1 << 40:
             self._starts.append(int(self._starts[-1] * growth) + 1)
@@ -90,8 +92,11 @@ class Scheme:
         return (100 - self.percent) * sizes // (100 + self.percent)
 
     @lru_cache(maxsize=4096)  # noqa: B019 - one scheme per worker
-    def instances(self, size: int) -> tuple[tuple[int, int], ...]:
-        """(band, parts) that a set of this size takes part in."""
+    def instances(self, size: int) -> tuple[tuple[int, int, int], ...]:
+        """(band, parts, spare) that a set of this size takes part in.
+
+        With more parts than the distance needs, ``spare`` of them may go without a signature.
+        """
         import bisect
 
         band = bisect.bisect_right(self._starts, size) - 1
@@ -105,13 +110,20 @@ class Scheme:
                 continue
             k = self.distance(top + reach)
             if k:
-                out.append((b, -(-(k + 1) // 2)))
+                least = -(-(k + 1) // 2)
+                few = SUB_PARTS * math.exp(-(SUB_PARTS - 1) / SUB_PARTS * self._starts[b] / least)  # parts with an empty selection
+                spare = math.ceil(2 * few * least) if least >= 8 and few > 0.002 else 0
+                out.append((b, least + spare, spare))
         return tuple(out)
 
     def signatures(self, hashes: np.ndarray) -> np.ndarray:
-        """All signatures of a set, none of them of an empty selection unless every seed has one."""
+        """All signatures of a set, those of empty selections only where every seed has too many of them.
+
+        Linked sets agree in a selection of at least one part more than are spare.  If at most
+        ``spare`` parts have an empty selection, one that they agree in is not empty.
+        """
         found = []
-        for band, parts in self.instances(len(hashes)):
+        for band, parts, spare in self.instances(len(hashes)):
             for seed in range(SEEDS):
                 scrambled = _mix(hashes + _ODD[seed : seed + 1] * np.uint64(band + 1))
                 cell = (scrambled % np.uint64(parts * SUB_PARTS)).astype(np.int64)
@@ -128,7 +140,7 @@ class Scheme:
                 signature = _mix(chosen + _mix(name + _ODD[2:3]))
                 last = seed == SEEDS - 1
                 found.append(signature.reshape(-1) if last else signature[filled])
-                if last or filled.all():
+                if last or np.count_nonzero(~filled.all(axis=1)) <= spare:
                     break
         return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
@@ -186,27 +198,54 @@ def signed(df: DataFrame, width: int, percent: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>")
 
 
-def _sets(df: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc, n, items, sketch): the sorted hashes of each set as bytes, and its sketch."""
+def _sets(df: DataFrame, width: int) -> DataFrame:
+    """(doc, items): the sorted hashes of each set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "items"])
+
+    return df.mapInArrow(run, "doc bigint, items binary")
+
+
+def _sketches(df: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, n, sketch): the size and the sketch of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
+        for batch in batches:
+            sizes, made = [], []
+            for text in batch.column(1):
+                found = shingle_hashes(text.as_py(), width)
+                sizes.append(len(found))
+                made.append(sketch(found, sketch_cells(scheme.distance(2 * len(found)))).tobytes())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sketch"])
+
+    return df.mapInArrow(run, "doc bigint, n bigint, sketch binary")
+
+
+def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that their sketches do not rule out."""
+    joined = pairs.join(sketches.toDF("u", "nu", "su"), "u").join(sketches.toDF("v", "nv", "sv"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         for batch in batches:
-            sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
-            sketches = [sketch(x, sketch_cells(scheme.distance(2 * len(x)))).tobytes() for x in sets]
-            columns = [
-                batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(sketches, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "items", "sketch"])
+            good = []
+            for nu, a, nv, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                both = [np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b)]
+                n, side = np.array([nu, nv]), np.array([0, 1])
+                good.append(any(True for _ in _near(scheme, n, side, side, both)))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return df.mapInArrow(run, "doc bigint, n bigint, items binary, sketch binary")
+    return joined.select("u", "v", "nu", "su", "nv", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that link."""
-    named = sets.select("doc", "items")
-    left, right = named.toDF("u", "a"), named.toDF("v", "b")
+    left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
     joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +279,13 @@ def _near(scheme: Scheme, n: np.ndarray, comps: np.ndarray, side: np.ndarray, sk
             yield i, near
 
 
-def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) in buckets (sig, doc, comp) that lie in two components and may link.
 
     A bucket is cut into blocks of bounded size and every pair of blocks is compared by
     sketches, a lower bound of the distance, so no linked pair is missed.
     """
-    per = members.join(sets.select("doc", "n", "sketch"), "doc")
+    per = members.join(sketches, "doc")
     size = per.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("sketch")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("docs") / F.lit(BLOCK_DOCS), F.col("bytes") / F.lit(BLOCK_BYTES)))
     size = size.select("sig", blocks.cast("int").alias("blocks"))
@@ -266,8 +305,8 @@ def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
     def run(table: pa.Table) -> pa.Table:
         docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "comp", "side", "n"))
-        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")]
-        found = list(_near(Scheme(percent), n, comps, side, sketches))
+        held = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")]
+        found = list(_near(Scheme(percent), n, comps, side, held))
         u = np.concatenate([np.full(len(o), docs[i]) for i, o in found]) if found else np.empty(0, np.int64)
         v = np.concatenate([docs[o] for _, o in found]) if found else np.empty(0, np.int64)
         return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
@@ -299,36 +338,47 @@ def jaccard_components(
     """(doc_id, n_shingles, component_id) per input row."""
     documents = _narrow(df, id_col, text_col)
     made = materialise(signed(documents, width, percent), "signed")
-    keys = made.select("doc_id", "n_shingles", "k1", "k2")
+    keys = materialise(made.select("doc_id", "n_shingles", "k1", "k2"), "keys")
     known = keys.where("doc_id IS NOT NULL AND k1 IS NOT NULL")
     classes = materialise(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     copies = known.join(classes.where("n > 1"), ["k1", "k2"]).where("doc_id <> rep")
     copies = copies.select(F.col("doc_id").alias("doc"), "rep").distinct()
     signatures = made.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
     members = materialise(_buckets(signatures, copies), "members")
+    discard(made)
 
     named = documents.where("doc_id IS NOT NULL")
-    needed = members.select(F.col("doc").alias("doc_id")).distinct().hint("merge")
-    sets = materialise(_sets(named.join(needed, "doc_id", "left_semi"), width, percent), "sets")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return named.join(ids.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+
+    sketches = materialise(_sketches(texts_of(members), width, percent), "sketches")
     found, links, residual = None, None, members.withColumn("comp", F.col("doc"))
     # Two rounds of stars around the smallest and then the largest document of each open bucket, then everything left.
     for leader in (F.min, F.max, None):
         if leader is None:
-            pairs = _residual_pairs(residual, sets, percent)
+            slices = [residual.where(F.pmod(F.xxhash64("sig"), F.lit(SLICES)) == i) for i in range(SLICES)]
+            pairs = reduce(DataFrame.union, [materialise(_residual_pairs(x, sketches, percent), "pairs") for x in slices]).distinct()
         else:
             stars = residual.join(residual.groupBy("sig").agg(leader(F.struct("doc", "comp")).alias("lead")), "sig")
             stars = stars.where(F.col("comp") != F.col("lead.comp"))
-            pairs = stars.select(F.least("doc", "lead.doc").alias("u"), F.greatest("doc", "lead.doc").alias("v")).distinct()
+            stars = stars.select(F.least("doc", "lead.doc").alias("u"), F.greatest("doc", "lead.doc").alias("v")).distinct()
+            pairs = materialise(_may_link(stars, sketches, percent), "pairs")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("doc"))
+        sets = materialise(_sets(texts_of(ends), width), "sets")
         more = materialise(_verified(pairs, sets, percent), "links", 200)
+        discard(sets)
         links = more if links is None else links.union(more)
         if found is None or not more.isEmpty():
             found = materialise(connected_components(links), "components")
         labelled = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
             "sig", "doc", F.coalesce("component", "doc").alias("comp")
         )
+        if leader is None:
+            break
         several = labelled.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
         residual = materialise(labelled.join(several.select("sig"), "sig"), "residual")
-        if leader is None or residual.isEmpty():
+        if residual.isEmpty():
             break
 
     with_rep = keys.join(classes.drop("n"), ["k1", "k2"], "left")
