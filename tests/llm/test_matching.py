@@ -200,15 +200,40 @@ def test_language_models(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version of its decision, each on its own input."""
+    import re
+
     import corpus_pipeline
 
+    from .test_filters import brute_pii
+
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, kept = docs.columns, [docs.count()]
+    items = [decontaminate.normalize(x.text) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    columns, tables = docs.columns, [{x.doc_id: x for x in docs.collect()}]
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, sf), "stage")
-        kept.append(docs.select("doc_id").distinct().count())
         if name != "packing":
             assert docs.columns == columns
-    assert kept[0] > kept[1] > kept[2] > kept[3] == kept[4] == kept[5]
+            tables.append({x.doc_id: x for x in docs.collect()})
+    raw, good, single, clean, private = tables
+    for i in raw.keys() - good.keys():
+        words = raw[i].text.split()
+        junk = len(re.findall(r"[#*$%&|<>!]", raw[i].text)) > 0.1 * len(words) or raw[i].text.isupper()
+        stutter = sum(a == b for a, b in zip(words, words[1:], strict=False)) > 0.3 * len(words)
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        assert junk or stutter or len(words) < 20 or len(set(windows)) < len(windows)
+    ids = sorted(good)
+    wanted = {ids[n] for n, _, c in brute_components([good[i].text for i in ids], 5, 80) if c == n}
+    assert single.keys() == wanted
+    leaks = {i for i, x in single.items() if any(t in decontaminate.normalize(x.text) for t in items)}
+    matcher = decontaminate.Matcher(list(enumerate(items)), decontaminate.RATE)
+    assert leaks <= single.keys() - clean.keys()
+    for i in single.keys() - clean.keys() - leaks:
+        assert any(matcher.patterns[n].distance(decontaminate.normalize(single[i].text))[0] == d for n, d, _, _ in matcher.search(single[i].text))
+    assert private.keys() == clean.keys() and len(leaks) > 0
+    for i, x in private.items():
+        assert x.n_chars == (clean[i].n_chars if x.text == clean[i].text else len(x.text))
+        assert (x.text == clean[i].text) == (not brute_pii(clean[i].text))
+    assert {x.doc_id for x in docs.collect()} == private.keys()
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
