@@ -237,3 +237,42 @@ def test_pipeline(spark):
         assert (x.text == clean[i].text) == (not brute_pii(clean[i].text))
     assert {x.doc_id for x in docs.collect()} == private.keys()
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_language_models_know_words(spark, monkeypatch):
+    """Texts of like letters are told apart by their words, and no count is lost between batches."""
+    import re
+    from collections import Counter
+
+    r = random.Random(5)
+    words = ["".join(r.choice("ab") for _ in range(9)) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(words[:200] if i % 2 else words[200:]) for _ in range(60))) for i in range(200)] + [(None, "a  b\n\n"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    target = spark.createDataFrame([(i,) for i in range(1, 100, 2)], "doc_id bigint")
+    monkeypatch.setattr(lm_score, "PART_BYTES", 10_000)
+    got = lm_score.score(df, target).collect()
+    assert Counter((x.doc_id, x.n_tokens) for x in got) == Counter((i, len(t)) for i, t in rows)
+    unlabelled = [x for x in got if x.doc_id is not None and x.doc_id >= 100]
+    assert max(x.score for x in unlabelled if x.doc_id % 2) + 0.2 < min(x.score for x in unlabelled if x.doc_id % 2 == 0)
+    # a plain version of the background model
+    texts = [t + "\n" for _, t in rows if t]
+    table = lm_score.count_trigrams(spark.createDataFrame([(t, True) for t in texts], "text string, is_good boolean")).collect()
+    cells = np.array([x.cell for x in table])
+    spelt = dict(zip(cells.tolist(), lm_score.losses(cells, np.array([x.n for x in table], dtype=float)).tolist(), strict=True))
+    one, before, pair, split = Counter(), Counter(), Counter(), []
+    for t in texts:
+        units = re.findall(r"\S*\s", t)
+        split.append(units)
+        for v, u in zip([None, *units], units, strict=False):
+            one[u] += 1
+            before[v] += 1
+            pair[v, u] += 1
+    wanted = []
+    for t, units in zip(texts, split, strict=True):
+        of_bytes, at, loss = [spelt[c] for c in lm_score.trigram_cells(t).tolist()], 0, 0.0
+        for v, u in zip([None, *units], units, strict=False):
+            alone = 0.9 * one[u] / one.total() + 0.1 * np.exp(-sum(of_bytes[at : at + len(u)]))
+            loss -= np.log((pair[v, u] + 8 * alone) / (before[v] + 8))
+            at += len(u)
+        wanted.append(loss / (len(t) - 1))
+    assert np.allclose(sorted(x.background_loss for x in got if x.n_tokens), sorted(wanted), atol=1e-5)

@@ -1,17 +1,21 @@
 """Language-model scoring by cross-entropy difference between matched n-gram models.
 
-Target and background are interpolated trigram models over the same vocabulary, the 256
-byte values and a mark for the start, so no token is ever unknown and both spread their
-mass over the same events.  The target model counts the documents that are labelled
-good, the background model counts every document.  A document's score is its mean loss
-per token under the target model minus that under the background model, in nats: the
+Target and background are interpolated models over the same vocabulary: units, which are
+a word with the one white-space byte behind it (a line feed closes a text).  A unit's
+probability is that of the pair with the unit before it, backed by that of the unit
+alone, backed by its spelling under a byte trigram model; so no unit is ever unknown and
+both models spread their mass over the same events.  The target model counts the
+documents that are labelled good, the background model counts every document.  A
+document's loss is that of all its units, in nats, divided by its bytes (``n_tokens``);
+its score is the loss under the target model minus that under the background model: the
 lower, the closer to the target.
 
-Counting is a map with a dense counter per task, whose non-zero cells (what the task's
-share of the corpus really holds) are summed by Spark; every task sends the counts of
-all it has read.  The model has at most 2**24 cells by its construction, a few hundred
-thousand in practice; that bound is what lets the driver hold it and executors copy it.
-Scoring is a second map.  Null and empty texts have no tokens and a score of 0.  An
+Units and pairs of units grow with the corpus, so they are never gathered in one place.
+Texts are written once in batches.  Each batch sends its distinct units and pairs, by
+64-bit hash, to the parts of the count table; a part adds them up over all batches and
+writes the sums by part and batch, and every batch meets the sums it asked for.  Only
+the spelling model, of at most 2**24 cells by its construction, is held by the driver
+and copied to executors.  Null and empty texts have no tokens and a score of 0.  An
 empty target makes both models equal up to smoothing.  Rows that repeat an id are
 counted and scored each for itself.
 """
@@ -26,11 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
+
 CELLS = 1 << 24
 #: Weight of the lower order in each interpolation, as a count.
 PRIOR = 8.0
 #: Tokens that one call of the counter takes.
 BLOCK = 1 << 22
+#: Share of a unit's probability that its spelling gives, and weight of the unit alone beside a pair, as a count.
+SPELT = 0.1
+PAIR_PRIOR = 8.0
+#: Bytes of text in a batch, and about so many for each part of the count table.
+BATCH_BYTES = 4 << 20
+PART_BYTES = 16 << 20
 
 
 def trigram_cells(text: str | None) -> np.ndarray:
@@ -105,6 +117,148 @@ def dense_tables(key: str, model) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN
     return _TABLES[key]
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTERS = np.random.default_rng(97).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_ONE, _BEFORE, _PAIR, _START, _ALL = (np.uint64(n) for n in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 1, 2))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Units:
+    """The units of some texts and the keys under which the count table knows them.
+
+    ``keys`` are the distinct keys in ascending order; ``one``, ``before`` and ``pair``
+    say which of them each unit takes for itself, for the unit before it and for both,
+    and ``all`` is the place of the key that counts all units.
+    """
+
+    def __init__(self, texts: list[str | None]) -> None:
+        found = [trigram_cells(t + "\n") for t in texts if t]
+        self.sizes = np.array([len(c) for c in found], dtype=np.int64)  # of texts that are not empty
+        self.cells = np.concatenate(found) if found else np.empty(0, dtype=np.int32)
+        del found
+        letters = self.cells & 0xFF
+        self.starts = np.concatenate([[0], np.flatnonzero(_SPACE[letters])[:-1] + 1]) if len(letters) else np.empty(0, dtype=np.int64)
+        lengths = np.diff(np.append(self.starts, len(letters)))
+        powers = np.cumprod(np.full(int(lengths.max(initial=0)), _STEP, dtype=np.uint64))
+        spelt = _LETTERS[letters] * powers[np.arange(len(letters)) - np.repeat(self.starts, lengths)]
+        units = _mixed(np.add.reduceat(spelt, self.starts)) if len(letters) else np.empty(0, dtype=np.uint64)
+        del spelt, letters
+        self.first = np.searchsorted(self.starts, np.cumsum(self.sizes) - self.sizes)  # unit of each text
+        self.n = np.diff(np.append(self.first, len(units)))
+        before = np.roll(units, 1)
+        before[self.first] = _START
+        pairs = _mixed(_mixed(before ^ _PAIR) + units)
+        every = np.concatenate([_mixed(units ^ _ONE), _mixed(before ^ _BEFORE), pairs, _mixed(np.array([_ALL]))])
+        self.keys, places = np.unique(every, return_inverse=True)
+        self.one, self.before, self.pair = places[:-1].reshape(3, -1)
+        self.all = places[-1]
+
+    def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs, and how often in the texts that are ``good``."""
+        is_good = np.repeat(good, self.n)
+        out = []
+        for wanted in (slice(None), is_good):
+            n = sum(np.bincount(x[wanted], minlength=len(self.keys)) for x in (self.one, self.before, self.pair))
+            n[self.all] = len(self.one[wanted])
+            out.append(n)
+        return out[0], out[1]
+
+    def losses(self, counts: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """The loss in nats of each text that is not empty; ``counts`` of the keys, ``spelling`` losses of the cells."""
+        if not len(self.starts):
+            return np.empty(0)
+        spelt = -np.add.reduceat(spelling, self.starts, dtype=np.float64)
+        total = float(counts[self.all])
+        with np.errstate(divide="ignore"):
+            alone = np.logaddexp(np.log((1 - SPELT) * counts[self.one] / total), np.log(SPELT) + spelt) if total else spelt
+            found = np.logaddexp(np.log(counts[self.pair].astype(np.float64)), np.log(PAIR_PRIOR) + alone)
+        return -np.add.reduceat(found - np.log(counts[self.before] + PAIR_PRIOR), self.first)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return len(values).to_bytes(8, "little") + pa.compress(values.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], 8 * int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), dtype="<i8")
+
+
+BATCH_TYPE = "batch bigint, ids array<bigint>, texts array<string>, good array<boolean>"
+
+
+def _in_batches(flagged: DataFrame) -> DataFrame:
+    """Rows of doc_id, text and is_good, many to a row, under a number that no other batch has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            ids, texts, good = zip(*held, strict=True)
+            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                       pa.array([texts], pa.list_(pa.string())), pa.array([good], pa.list_(pa.bool_()))]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "texts", "good"])
+
+        for batch in batches:
+            for doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(doc)
+                size += len(doc[1] or "") + 16
+                if size >= BATCH_BYTES:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    return flagged.select("doc_id", "text", "is_good").mapInArrow(run, BATCH_TYPE)
+
+
+def _asked(batched: DataFrame, parts: int) -> DataFrame:
+    """(batch, part, keys, n, good): what each batch holds of each part of the count table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, texts, good in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                units = Units(texts)
+                n, g = units.counts(np.array([x for t, x in zip(texts, good, strict=True) if t], dtype=bool))
+                part = (units.keys % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                bounds = np.cumsum(np.bincount(part, minlength=parts))[:-1]
+                places = np.split(order, bounds)
+                columns = [
+                    pa.array([number] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([units.keys[at].tobytes() for at in places], pa.binary()),
+                    *(pa.array([_packed(x[at]) for at in places], pa.binary()) for x in (n, g)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "keys", "n", "good"])
+
+    return batched.mapInArrow(run, "batch bigint, part int, keys binary, n binary, good binary")
+
+
+def _added(asked: DataFrame) -> DataFrame:
+    """(batch, part, n, good): the sums over all batches, for the keys that each batch asked for and in its order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("keys")]
+        bounds = np.cumsum([len(x) for x in raw])[:-1]
+        places = np.unique(np.concatenate(raw), return_inverse=True)[1]
+        del raw
+        sums = {}
+        for name in ("n", "good"):
+            values = np.concatenate([_unpacked(x.as_py()) for x in table.column(name)])
+            total = np.zeros(int(places.max(initial=-1)) + 1, dtype=np.int64)
+            np.add.at(total, places, values)
+            sums[name] = pa.array([_packed(x) for x in np.split(total[places], bounds)], pa.binary())
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), **sums})
+
+    return asked.groupBy("part").applyInArrow(run, "batch bigint, part int, n binary, good binary")
+
+
 def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) per input row.
 
@@ -114,25 +268,43 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     good = target.select(F.col(target.columns[0]).cast("long").alias("doc_id")).distinct().withColumn("is_good", F.lit(True))
     # texts meet their labels by one sort-merge join at every size
-    flagged = narrow.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
-    table = count_trigrams(flagged).toArrow()
+    flagged = narrow.join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
+    batched = materialise(_in_batches(flagged), "texts")
+    single = batched.select(F.explode(F.arrays_zip("texts", "good")).alias("x")).where("x.texts != ''")
+    table = count_trigrams(single.select(F.concat("x.texts", F.lit("\n")).alias("text"), "x.good")).toArrow()
     cells, n, g = (table.column(i).to_numpy() for i in range(3))
     model = spark.sparkContext.broadcast((
         cells, losses(cells, g.astype(np.float64)).astype(np.float32), losses(cells, n.astype(np.float64)).astype(np.float32)
     ))
     name = uuid.uuid4().hex
+    sums = materialise(_added(_asked(batched, 1 + int(n.sum()) // PART_BYTES)), "ngrams", rows_at_once=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.Table, found: pa.Table) -> pa.Table:
         near, far = dense_tables(name, model)
-        for batch in batches:
-            sizes, a, b = [], [], []
-            for text in batch.column(1):
-                found = trigram_cells(text.as_py())
-                sizes.append(len(found))
-                a.append(float(near[found].mean(dtype=np.float64)) if len(found) else 0.0)
-                b.append(float(far[found].mean(dtype=np.float64)) if len(found) else 0.0)
-            a, b = np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a), pa.array(b), pa.array(a - b)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+        found = found.sort_by("part")
+        out = []
+        for ids, texts in zip(batch.column("ids").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+            units = Units(texts)
+            # the sums lie by part and then key
+            parts = np.uint64(found.num_rows)
+            order = np.argsort(units.keys % parts, kind="stable")
+            filled = np.array([bool(t) for t in texts])
+            sizes = np.zeros(len(texts), dtype=np.int64)
+            sizes[filled] = units.sizes - 1  # without the line feed that closes the text
+            means = []
+            for column, spelling in (("good", near), ("n", far)):
+                counts = np.empty(len(order), dtype=np.int64)
+                counts[order] = np.concatenate([_unpacked(x.as_py()) for x in found.column(column)])
+                mean = np.zeros(len(texts))
+                mean[filled] = units.losses(counts, spelling[units.cells]) / sizes[filled]
+                means.append(mean)
+            a, b = means
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(a), pa.array(b), pa.array(a - b)]
+            out.append(pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"]))
+        return pa.concat_tables(out)
+
+    asking, answered = batched.select("batch", "ids", "texts").groupBy("batch"), sums.groupBy("batch")
+    scored = asking.cogroup(answered).applyInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    written = materialise(scored, "scores", rows_at_once=1)
+    discard(batched, sums)
+    return written
