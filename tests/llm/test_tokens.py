@@ -141,3 +141,14 @@ def test_pack_documents(spark):
         assert at <= 2048
     assert len(sequences) == -(-sum(x.length for x in got) // 2048)
     assert pack_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "keeps_space"), VOCABULARIES)
+def test_added_tokens_are_found_in_texts(name, keeps_space):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary(name))
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b c", "<|startoftext|>x\ny <|endoftext|>", "<|endoftext|", "no token, here", None]
+    got = list(tokens.Encoder(vocabulary(name), keeps_space).encode_block(texts))
+    assert got == [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert plain.token_to_id("<|endoftext|>") in np.frombuffer(got[0], dtype="<u4")

@@ -4,8 +4,8 @@ Both kinds of vocabulary in use split a text first, and never keep together what
 before and after a space between two other characters.  A text is therefore cut at its
 spaces and every distinct piece of a block is tokenized once: plain Latin words (with a
 full stop or comma behind them) by the library's model alone, all other pieces by its
-whole pipeline.  Texts with longer or unusual runs of white space go to the pipeline
-whole.  Cutting, counting and putting together run in Arrow.  A worker process keeps at
+whole pipeline.  Texts with longer or unusual runs of white space, or with the string of
+an added token, go to the pipeline whole.  Cutting, counting and putting together run in Arrow.  A worker process keeps at
 most ``CACHE_PIECES`` pieces, those used last, between blocks and tasks.
 """
 
@@ -51,9 +51,7 @@ def _load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # their strings in a text are ordinary text
-    return loaded
+    return Tokenizer.from_file(path)
 
 
 def _of_lengths(ids: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
@@ -76,6 +74,7 @@ class Encoder:
             raise NotImplementedError("ids are stored in little-endian order")
         self._tokenizer = _load(path)
         self._keeps_space = keeps_space
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         # the same model behind a plain split, for words that are already written in its alphabet
         self._words_only = Tokenizer(self._tokenizer.model)
         self._words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -174,15 +173,22 @@ class Encoder:
             yield bytes(ids[4 * starts[at] : 4 * starts[end]])
             at = end
 
+    def _holds_added(self, text: str) -> bool:
+        """Whether the string of an added token, which comes before any split, is in the text."""
+        return any(token in text for token in self._added)
+
     def _is_whole(self, text: str) -> bool:
-        """Whether white space that belongs together may touch a space."""
-        return "  " in text or " \n" in text or "\n " in text or _UNUSUAL.search(text) is not None
+        """Whether white space that belongs together may touch a space, or an added token is in the text."""
+        return self._holds_added(text) or "  " in text or " \n" in text or "\n " in text or _UNUSUAL.search(text) is not None
 
     def encode_block(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; empty for a null or empty text."""
         block = [t or "" for t in texts]
         if not self._keeps_space:
-            yield from self._encode_cut([t.replace("\n", " ") for t in block])
+            whole = [self._holds_added(t) for t in block]
+            cut = self._encode_cut([None if w else t.replace("\n", " ") for t, w in zip(block, whole, strict=True)])
+            for text, is_whole, ids in zip(block, whole, cut, strict=True):
+                yield self._by_pipeline([text])[0] if is_whole else ids
             return
         # the first piece has no space in front of it, so the pipeline takes it
         heads, rest = [], []
