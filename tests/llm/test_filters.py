@@ -162,3 +162,17 @@ def test_queries_over_small_tables(spark):
     assert re.fullmatch("[0-9a-f]{64}", row.base_sha256) and "ip:" in row.spans
     pages = queries()["op5_html_extraction"](spark, "/root/testdata/sf0.001")
     assert pages.where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+@pytest.mark.parametrize(("text", "redacted"), [
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "[IBAN] BIC COBADEFF"),
+    ("DE89370400440532013000 EUR", "[IBAN] EUR"),
+    ("GB82 WEST 1234 5698 7654 32 2024", "[IBAN] 2024"),
+    ("AB12 DE89 3704 0044 0532 0130 00", "AB12 [IBAN]"),
+    ("DE89370400440532013000 GB82WEST12345698765432", "[IBAN] [IBAN]"),
+    ("DE89 3704 0044 0532 0130 00x", "DE89 3704 0044 0532 0130 00x"),
+    ("serial DE89370400440532013000", "serial DE89370400440532013000"),
+    ("serial of the bank DE89370400440532013000", "serial of the bank [IBAN]"),
+])
+def test_ibans_before_other_words(text, redacted):
+    assert pii.redact(text) == redacted
