@@ -176,3 +176,19 @@ def test_queries_over_small_tables(spark):
 ])
 def test_ibans_before_other_words(text, redacted):
     assert pii.redact(text) == redacted
+
+
+LONG = "A long paragraph of plain text, which says one thing after another and never ends."
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    (f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}!</p></div>", "\n".join([LONG] * 3 + [LONG + "!"])),
+    (f"<article><p>{LONG * 9}</p></article><article><p>{LONG}</p></article>", f"{LONG * 9}\n{LONG}"),
+    (f"<main><p>{LONG}</p><article><p>{LONG}!</p></article></main>", f"{LONG}\n{LONG}!"),
+    (f"<div class='layout has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='sidebar-layout'><article><p>{LONG}</p><div class='sidebar'>{LONG}</div></article></div>", LONG),
+    (f"<article><p>{LONG}</p><h2 id='related-work'>Related work</h2><section id='discussion'><p>{LONG}!</p></section><section id='comments'><p>{LONG}</p></section></article>", f"{LONG}\nRelated work\n{LONG}!"),
+    (f"<article>{f'<p>{LONG}</p>' * 4}<ul>{'<li><a href=x>More</a>' * 6}</ul></article>", "\n".join([LONG] * 4)),
+])
+def test_html_keeps_all_content_regions(body, text):
+    assert html_text.extract(f"<html><body>{body}</body></html>") == text

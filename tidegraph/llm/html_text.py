@@ -6,11 +6,16 @@ and the container (article, main, section, division, ...) that holds it.  Text b
 elements that are furniture by their name, role, class or id (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, comment sections) never becomes a line.
 
+A role, class or id that names furniture is only a hint: it never holds for what contains
+an ``article`` or ``main`` or most of the text of a page, nor for a heading or a section
+named by its id inside an article whose text reads as prose.
+
 Each line's text-to-tag ratio is smoothed with a Gaussian over its neighbours and the
 lines are split into two clusters at a threshold of the ratios' spread.  The content
-region is the innermost container that holds the clear majority of the text in the high
-cluster; explicit ``article`` or ``main`` elements bound it.  All lines of the region
-are content, however short, so paragraphs are never dropped or capped.
+region is the innermost container that holds all text in the high cluster; explicit
+``article`` and ``main`` elements with such text bound it.  The lines of the region are
+clustered again: what is in the low cluster and mostly links is furniture.  All other
+lines of the region are content, however short, so paragraphs are never dropped or capped.
 
 The work is a narrow map over the rows (no shuffle), linear in the page.  Null and
 empty pages give an empty text; unclosed and stray tags are tolerated; repeated rows
@@ -59,28 +64,39 @@ FURNITURE_WORDS = frozenset(
 )
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Before a furniture word of the same token these say that the layout around it has or lacks it.
+LAYOUT_WORDS = frozenset("has have with without no not hide show".split())
+#: Furniture words that as an id may say what a section is about.
+TOPIC_WORDS = frozenset("alert dialog discussion feedback form notice notices promotion related search sharing side social".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
-MAJORITY = 0.6
+#: More than this share of a text in links, or of a page in one container, decides about it.
+MAJORITY = 0.5
 
 
-def _is_furniture(attrs: list[tuple[str, str | None]]) -> bool:
+def _hint(attrs: list[tuple[str, str | None]]) -> str:
+    """What the attributes say: "hidden", "furniture", "topic" where only an id may name a subject as well, or nothing."""
+    named = ""
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "hidden"
         if name in ("class", "id", "role") and value:
-            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-            if words & FURNITURE_WORDS:
-                return True
-    return False
+            for token in value.split():
+                words = _WORD.findall(_CAMEL.sub(" ", token).lower())
+                at = next((i for i, word in enumerate(words) if word in FURNITURE_WORDS), None)
+                if at is not None and not LAYOUT_WORDS.intersection(words[:at]):
+                    kind = "topic" if name == "id" and words[at] in TOPIC_WORDS else "furniture"
+                    named = kind if named in ("", kind) else "furniture"
+    return named
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, innermost container) for every block outside furniture; 0 is the page itself."""
+    """Collects (text, tags, innermost container, characters in links) for every block outside furniture elements; 0 is the page itself."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.kinds, self.parents = [""], [0]  # by container, in the order in which they open
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.kinds, self.parents, self.hints = [""], [0], [""]  # by container, in the order in which they open
         self._open: list[tuple[str, bool, int]] = []  # name, furniture, container or 0
         self._names: Counter[str] = Counter()  # of open elements
         self._blocks: list[int] = []  # where open blocks lie in _open
@@ -88,16 +104,17 @@ class _Lines(HTMLParser):
         self._shut = 0  # open furniture elements
         self._text: list[str] = []
         self._tags = 0
+        self._linked = 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self._text).split()):
-            self.lines.append((text, self._tags, self._within))
-        self._text, self._tags = [], 0
+            self.lines.append((text, self._tags, self._within, self._linked))
+        self._text, self._tags, self._linked = [], 0, 0
 
     def _pop(self) -> None:
         name, furniture, container = self._open.pop()
         self._names[name] -= 1
-        if name in BLOCKS or furniture:
+        if name in BLOCKS or furniture or container:
             self.flush()
         if name in BLOCKS:
             self._blocks.pop()
@@ -113,8 +130,9 @@ class _Lines(HTMLParser):
             depth = self._blocks[-1]
             while len(self._open) > depth:
                 self._pop()
-        furniture = tag in FURNITURE or (tag not in WHOLE and _is_furniture(attrs))
-        if tag in BLOCKS or furniture:
+        hint = _hint(attrs) if tag not in WHOLE and tag not in FURNITURE else ""
+        furniture = tag in FURNITURE or hint == "hidden"
+        if tag in BLOCKS or furniture or hint:
             self.flush()
         self._tags += 1
         if tag == "br":
@@ -122,10 +140,11 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         container = 0
-        if tag in CONTAINERS and not self._shut and not furniture:
+        if (tag in CONTAINERS or hint) and not self._shut and not furniture:
             container = len(self.kinds)
             self.kinds.append(tag)
             self.parents.append(self._within)
+            self.hints.append(hint)
             self._within = container
         self._shut += furniture
         self._names[tag] += 1
@@ -149,6 +168,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._shut:
             self._text.append(data)
+            if self._names["a"]:
+                self._linked += len(data.strip())
 
 
 def _smoothed(ratios: list[float]) -> list[float]:
@@ -168,26 +189,50 @@ def _high(ratios: list[float]) -> list[bool]:
     return [r >= min(spread, mean) for r in ratios]
 
 
-def _region(page: _Lines) -> list[bool]:
-    """Which containers hold content; the first entry is the page itself."""
-    lines, kinds, parents = page.lines, page.kinds, page.parents
-    ratios = _smoothed([len(text) / (tags + 1) for text, tags, _ in lines])
+def _shut(page: _Lines) -> list[bool]:
+    """Which containers are furniture by their hints, or lie in such."""
+    kinds, parents, hints = page.kinds, page.parents, page.hints
+    size, linked, whole = [0] * len(kinds), [0] * len(kinds), [k in ("article", "main") for k in kinds]
+    for text, _, container, links in page.lines:
+        size[container] += len(text)
+        linked[container] += links
+    for c in range(len(kinds) - 1, 0, -1):  # containers open after those around them
+        size[parents[c]] += size[c]
+        linked[parents[c]] += linked[c]
+        whole[parents[c]] = whole[parents[c]] or whole[c]
+    marked = any(whole)
+    shut, inside = [False] * len(kinds), [False] * len(kinds)
+    for c in range(1, len(kinds)):
+        around = parents[c]
+        inside[c] = inside[around] or kinds[c] in ("article", "main")
+        prose = linked[c] <= MAJORITY * size[c]
+        # an article's own heading, or a section of it that is named for what it is about
+        own = inside[around] and (kinds[c] in HEADINGS or (kinds[c] == "section" and hints[c] == "topic" and prose))
+        most = not marked and prose and size[c] > MAJORITY * size[0]
+        shut[c] = shut[around] or (hints[c] != "" and not (whole[c] or own or most))
+    return shut
+
+
+def _region(lines: list[tuple[str, int, int, int]], kinds: list[str], parents: list[int]) -> list[bool]:
+    """Which lines are content."""
+    ratios = _smoothed([len(text) / (tags + 1) for text, tags, _, _ in lines])
     weight = [0] * len(kinds)
-    for (text, _, container), high in zip(lines, _high(ratios), strict=True):
+    for (text, _, container, _), high in zip(lines, _high(ratios), strict=True):
         weight[container] += len(text) * high
-    for container in range(len(kinds) - 1, 0, -1):  # containers open after those around them
+    for container in range(len(kinds) - 1, 0, -1):
         weight[parents[container]] += weight[container]
-    marked = [c for c, k in enumerate(kinds) if k == "article" and weight[c]] or [c for c, k in enumerate(kinds) if k == "main" and weight[c]]
-    if marked:
-        # several articles of a page are all content; teasers that hold little of its text are not
-        best = max(weight[c] for c in marked)
-        chosen = {c for c in marked if 4 * weight[c] >= best}
-    else:
-        chosen = {max(c for c, w in enumerate(weight) if w >= MAJORITY * weight[0])}
+    chosen = {c for c, k in enumerate(kinds) if k in ("article", "main") and weight[c]}
+    if not chosen:
+        chosen = {max(c for c, w in enumerate(weight) if w == weight[0])}
     held = [c in chosen for c in range(len(kinds))]
     for container in range(1, len(kinds)):
         held[container] = held[container] or held[parents[container]]
-    return held
+    content = [held[container] for _, _, container, _ in lines]
+    within = [i for i, x in enumerate(content) if x]
+    for i, high in zip(within, _high([ratios[i] for i in within]), strict=True):
+        text, _, _, linked = lines[i]
+        content[i] = high or linked <= MAJORITY * len(text)
+    return content
 
 
 def extract(html: str | None) -> str:
@@ -198,10 +243,12 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    if not parser.lines:
+    shut = _shut(parser)
+    lines = [x for x in parser.lines if not shut[x[2]]]
+    if not lines:
         return ""
-    held = _region(parser)
-    return "\n".join(text for text, _, container in parser.lines if held[container])
+    content = _region(lines, parser.kinds, parser.parents)
+    return "\n".join(x[0] for x, held in zip(lines, content, strict=True) if held)
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
