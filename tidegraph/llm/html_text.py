@@ -7,8 +7,9 @@ elements that are furniture by their name, role, class or id (menus, headers, fo
 sidebars, notices, adverts, forms, scripts, comment sections) never becomes a line.
 
 A role, class or id that names furniture is only a hint: it never holds for what contains
-an ``article`` or ``main`` or most of the text of a page, nor for a heading or a section
-named by its id inside an article whose text reads as prose.
+an ``article`` or ``main``, or most of the text of its article (of the page, where none is
+marked) unless it names what readers wrote, nor for a heading or a section named by its id
+inside an article whose text reads as prose.
 
 Each line's text-to-tag ratio is smoothed with a Gaussian over its neighbours and the
 lines are split into two clusters at a threshold of the ratios' spread.  The content
@@ -18,8 +19,9 @@ clustered again: what is in the low cluster and mostly links is furniture.  All
 lines of the region are content, however short, so paragraphs are never dropped or capped.
 
 The work is a narrow map over the rows (no shuffle), linear in the page.  Null and
-empty pages give an empty text; unclosed and stray tags are tolerated; repeated rows
-give repeated results.
+empty pages give an empty text; unclosed and stray tags are tolerated, and a tag or comment
+that is never finished hides what follows it, as in a browser; repeated rows give
+repeated results, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,18 +66,25 @@ FURNITURE_WORDS = frozenset(
 )
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Words for what readers wrote, which may be longer than the article.
+READER_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 #: Before a furniture word of the same token these say that the layout around it has or lacks it.
 LAYOUT_WORDS = frozenset("has have with without no not hide show".split())
 #: Furniture words that as an id may say what a section is about.
 TOPIC_WORDS = frozenset("alert dialog discussion feedback form notice notices promotion related search sharing side social".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A whole start tag; a quote opens a value only behind "=", as browsers read it.
+_TAG = re.compile(r"""<[A-Za-z][^\s/>]*+(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|)|["'])*+>""")
+#: What closes markup other than tags, by how it begins; everything else up to the next ">".
+_COMMENT = re.compile(r"--\s*>")
+_RAW = re.compile("<(script|style)(?![^\\s/>])", re.I)
 SIGMA = 1.0
 #: More than this share of a text in links, or of a page in one container, decides about it.
 MAJORITY = 0.5
 
 
 def _hint(attrs: list[tuple[str, str | None]]) -> str:
-    """What the attributes say: "hidden", "furniture", "topic" where only an id may name a subject as well, or nothing."""
+    """What the attributes say: "hidden", "furniture", "reader" for readers' words, "topic" where only an id may name a subject as well, or nothing."""
     named = ""
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -85,8 +94,8 @@ def _hint(attrs: list[tuple[str, str | None]]) -> str:
                 words = _WORD.findall(_CAMEL.sub(" ", token).lower())
                 at = next((i for i, word in enumerate(words) if word in FURNITURE_WORDS), None)
                 if at is not None and not LAYOUT_WORDS.intersection(words[:at]):
-                    kind = "topic" if name == "id" and words[at] in TOPIC_WORDS else "furniture"
-                    named = kind if named in ("", kind) else "furniture"
+                    kind = "topic" if name == "id" and words[at] in TOPIC_WORDS else "reader" if words[at] in READER_WORDS else "furniture"
+                    named = kind if named in ("", kind) else "reader" if "reader" in (named, kind) else "furniture"
     return named
 
 
@@ -152,6 +161,10 @@ class _Lines(HTMLParser):
             self._blocks.append(len(self._open))
         self._open.append((tag, furniture, container))
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section is a comment in HTML; the library refuses its name, or reads on for its own end."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self._open and self._open[-1][0] == tag and tag in ("svg", "path", "iframe"):
@@ -172,6 +185,39 @@ class _Lines(HTMLParser):
                 self._linked += len(data.strip())
 
 
+def _closed(html: str) -> str:
+    """The page up to the first tag or comment that never ends, which hides all behind it.
+
+    The parser would look for that end again at every later tag, so a page of broken tags would take quadratic time.
+    """
+    at = html.find("<")
+    while at >= 0:
+        after = html[at + 1 : at + 2]
+        if after.isascii() and after.isalpha():
+            tag = _TAG.match(html, at)
+            if not tag:
+                return html[:at]
+            end = tag.end()
+            if raw := _RAW.match(html, at):
+                close = re.compile(f"</{raw[1]}", re.I).search(html, end)
+                if not close:
+                    return html[:end]
+                end = close.start()
+        elif html.startswith("<!--", at):
+            close = _COMMENT.search(html, at + 4)
+            if not close:
+                return html[:at]
+            end = close.end()
+        elif after in ("/", "!", "?") and after:
+            end = html.find(">", at) + 1
+            if not end:
+                return html[:at]
+        else:
+            end = at + 1
+        at = html.find("<", end)
+    return html
+
+
 def _smoothed(ratios: list[float]) -> list[float]:
     reach = math.ceil(2 * SIGMA)
     weights = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-reach, reach + 1)]
@@ -201,14 +247,17 @@ def _shut(page: _Lines) -> list[bool]:
         linked[parents[c]] += linked[c]
         whole[parents[c]] = whole[parents[c]] or whole[c]
     marked = any(whole)
-    shut, inside = [False] * len(kinds), [False] * len(kinds)
+    shut, inside, base = [False] * len(kinds), [False] * len(kinds), [0] * len(kinds)
     for c in range(1, len(kinds)):
         around = parents[c]
-        inside[c] = inside[around] or kinds[c] in ("article", "main")
+        bound = kinds[c] in ("article", "main")
+        inside[c] = inside[around] or bound
+        base[c] = c if bound else base[around]
         prose = linked[c] <= MAJORITY * size[c]
         # an article's own heading, or a section of it that is named for what it is about
         own = inside[around] and (kinds[c] in HEADINGS or (kinds[c] == "section" and hints[c] == "topic" and prose))
-        most = not marked and prose and size[c] > MAJORITY * size[0]
+        # most of the text of its article, or of a page that marks none
+        most = (inside[around] or not marked) and hints[c] != "reader" and prose and size[c] > MAJORITY * size[base[around]]
         shut[c] = shut[around] or (hints[c] != "" and not (whole[c] or own or most))
     return shut
 
@@ -240,7 +289,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    parser.feed(_closed(html))
     parser.close()
     parser.flush()
     shut = _shut(parser)
