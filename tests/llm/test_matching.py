@@ -138,7 +138,7 @@ def test_decontamination_rows(spark):
     texts = [f"xx {item.upper()} yy", item.replace("lazy", "lazi"), item[:40], None, "", "clean words " * 3000, f"{item} {item}"]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] + [(0, texts[0], 0)], "doc_id bigint, text string, item_id int")
     got = decontaminate.find_leaks(df, bench).collect()
-    assert sorted((x.doc_id, x.item_id, x.distance) for x in got) == [(0, 1, 0)] * 4 + [(1, 1, 1)] * 2 + [(6, 1, 0)] * 2
+    assert sorted((x.doc_id, x.item_id, x.distance) for x in got) == [(0, 1, 0)] * 4 + [(1, 1, 1)] * 2 + [(6, 1, 0)] * 2  # "tiny" is in none
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [2, 3, 4, 5]
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
@@ -276,3 +276,24 @@ def test_language_models_know_words(spark, monkeypatch):
             at += len(u)
         wanted.append(loss / (len(t) - 1))
     assert np.allclose(sorted(x.background_loss for x in got if x.n_tokens), sorted(wanted), atol=1e-5)
+
+
+def test_short_items_and_rows_without_ids(spark):
+    bench = spark.createDataFrame([(1, "short benchmark item"), (2, "The quick brown fox jumps over the lazy dog today")], "item_id bigint, text string")
+    leak = "so the quick brown fox jumped over the lazy dog today"
+    rows = [
+        (0, "Short  benchmark\nitem", 1), (1, "short benchmark items", 1), (2, "a short benchmark item, said", 1), (3, "ashort benchmark item", 1),
+        (None, leak, 1), (None, "clean", 2), (5, leak, 3), (5, "clean", 3), (5, "clean", 3),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, item_id int")
+    assert sorted(x.doc_id for x in decontaminate.find_leaks(df, bench).where("item_id = 1").collect()) == [0, 2]
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, (df.where("text in ('short benchmark items', 'ashort benchmark item', 'clean')")).collect()))
+    assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(df.limit(0), bench).count() == 0
+    before, decontaminate.BLOCK_CHARS = decontaminate.BLOCK_CHARS, 30
+    try:
+        again = decontaminate.drop_contaminated(df, bench).collect()
+    finally:
+        decontaminate.BLOCK_CHARS = before
+    assert sorted(map(str, again)) == sorted(map(str, kept.collect()))
