@@ -1,23 +1,27 @@
 """Language-model scoring by cross-entropy difference between matched n-gram models.
 
-Target and background are interpolated models over the same vocabulary: units, which are
-a word with the one white-space byte behind it (a line feed closes a text).  A unit's
-probability is that of the pair with the unit before it, backed by that of the unit
-alone, backed by its spelling under a byte trigram model; so no unit is ever unknown and
-both models spread their mass over the same events.  The target model counts the
-documents that are labelled good, the background model counts every document.  A
-document's loss is that of all its units, in nats, divided by its bytes (``n_tokens``);
-its score is the loss under the target model minus that under the background model: the
-lower, the closer to the target.
-
-Units and pairs of units grow with the corpus, so they are never gathered in one place.
-Texts are written once in batches.  Each batch sends its distinct units and pairs, by
-64-bit hash, to the parts of the count table; a part adds them up over all batches and
-writes the sums by part and batch, and every batch meets the sums it asked for.  Only
-the spelling model, of at most 2**24 cells by its construction, is held by the driver
-and copied to executors.  Null and empty texts have no tokens and a score of 0.  An
-empty target makes both models equal up to smoothing.  Rows that repeat an id are
-counted and scored each for itself.
+Target and background are interpolated word-pair models over one vocabulary, the distinct
+words of all documents and one unit that closes a text (and stands before the next).  The
+probability of a unit is that of the pair with the unit before it, smoothed towards that
+of the unit alone, smoothed towards an even share of the vocabulary.
+
+The target model counts the documents that are labelled good, the background model counts
+every document.  Two things match them.  The background's counts are scaled to the
+target's total, so they are what a random part of the corpus as large as the target is
+expected to hold, and smoothing weighs alike in both; no document is left out for that.
+And no model that scores a document has seen it: its own counts are taken away first,
+from the background and, where it is one of them, from the target.
+
+A document's loss is that of all its units, in nats a unit (``n_tokens``: its words and
+the closing unit); its score is the loss under the target model minus that under the
+background model: the lower, the closer to the target.
+
+What is counted grows with the corpus, so it is never gathered in one place.  Each batch of
+documents sends its distinct words and pairs, by 64-bit hash, to the parts of the count
+table; a part adds them up over all batches and answers each batch in the order in which
+it asked.  Only three totals reach the driver.  Null and empty texts have no tokens and a score of
+0.  An empty target, or one that holds every document, makes both models equal.  Rows that repeat an id are
+counted and scored each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,236 +31,196 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
-CELLS = 1 << 24
 #: Weight of the lower order in each interpolation, as a count.
-PRIOR = 8.0
-#: Tokens that one call of the counter takes.
-BLOCK = 1 << 22
-#: Share of a unit's probability that its spelling gives, and weight of the unit alone beside a pair, as a count.
-SPELT = 0.1
-PAIR_PRIOR = 8.0
+UNIT_PRIOR, PAIR_PRIOR = 8.0, 8.0
 #: Bytes of text in a batch, and about so many for each part of the count table.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 
-
-def trigram_cells(text: str | None) -> np.ndarray:
-    """Cell of each token with the two before it; a text starts behind two line feeds."""
-    raw = np.frombuffer(("\n\n" + (text or "")).encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int32)
-    return (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-
-
-def count_trigrams(df: DataFrame) -> DataFrame:
-    """(cell, n, good) over rows of text and is_good: how often a trigram occurs, and how often in good rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, good = np.zeros(CELLS, dtype=np.uint32), np.zeros(CELLS, dtype=np.uint32)
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        waiting = 0
-
-        def drain() -> None:
-            for is_good, parts in held.items():
-                if parts:
-                    cells, n = np.unique(np.concatenate(parts), return_counts=True)
-                    total[cells] += n.astype(np.uint32)
-                    if is_good:
-                        good[cells] += n.astype(np.uint32)
-                parts.clear()
-
-        for batch in batches:
-            for text, is_good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                cells = trigram_cells(text.as_py())
-                held[bool(is_good)].append(cells)
-                waiting += len(cells)
-                if waiting >= BLOCK:
-                    drain()
-                    waiting = 0
-        drain()
-        cells = np.flatnonzero(total)
-        for at in range(0, len(cells), 1 << 18):
-            part = cells[at : at + (1 << 18)]
-            columns = [part.astype(np.int32), total[part].astype(np.int64), good[part].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "n", "good"])
-
-    counted = df.mapInArrow(run, "cell int, n bigint, good bigint")
-    return counted.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-
-
-def losses(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The loss in nats of each of ``cells`` under the interpolated model with these counts."""
-    second = cells & 0xFFFF
-    token = cells & 0xFF
-    one = np.bincount(token, counts, 256)
-    p1 = (one + 1) / (one.sum() + 256)
-    pair = np.bincount(second, counts, 1 << 16)
-    context1 = np.bincount(second >> 8, counts, 256)
-    p2 = (pair[second] + PRIOR * p1[token]) / (context1[second >> 8] + PRIOR)
-    before = cells >> 8
-    context2 = np.bincount(before, counts, 1 << 16)
-    p3 = (counts + PRIOR * p2) / (context2[before] + PRIOR)
-    return -np.log(p3)
-
-
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def dense_tables(key: str, model) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Losses by cell under both models, kept in the worker; cells that the corpus never held stay 0."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        cells, *values = model.value
-        made = np.zeros(CELLS, dtype=np.float32), np.zeros(CELLS, dtype=np.float32)
-        for table, losses_of in zip(made, values, strict=True):
-            table[cells] = losses_of
-        _TABLES[key] = made
-    return _TABLES[key]
-
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTERS = np.random.default_rng(97).integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_ONE, _BEFORE, _PAIR, _START, _ALL = (np.uint64(n) for n in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 1, 2))
+# Keys of words are odd and all others even.
+_CLOSE, _ALL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2127599BF4325C36)
+_ONE, _EVEN = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFE)
+_STEP, _M1, _M2 = (np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ (h >> np.uint64(30))) * _M1
+    h = (h ^ (h >> np.uint64(27))) * _M2
     return h ^ (h >> np.uint64(31))
 
 
-class Units:
-    """The units of some texts and the keys under which the count table knows them.
+def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the values, and the distinct values by code."""
+    found = values.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
 
-    ``keys`` are the distinct keys in ascending order; ``one``, ``before`` and ``pair``
-    say which of them each unit takes for itself, for the unit before it and for both,
-    and ``all`` is the place of the key that counts all units.
-    """
 
-    def __init__(self, texts: list[str | None]) -> None:
-        found = [trigram_cells(t + "\n") for t in texts if t]
-        self.sizes = np.array([len(c) for c in found], dtype=np.int64)  # of texts that are not empty
-        self.cells = np.concatenate(found) if found else np.empty(0, dtype=np.int32)
-        del found
-        letters = self.cells & 0xFF
-        self.starts = np.concatenate([[0], np.flatnonzero(_SPACE[letters])[:-1] + 1]) if len(letters) else np.empty(0, dtype=np.int64)
-        lengths = np.diff(np.append(self.starts, len(letters)))
-        powers = np.cumprod(np.full(int(lengths.max(initial=0)), _STEP, dtype=np.uint64))
-        spelt = _LETTERS[letters] * powers[np.arange(len(letters)) - np.repeat(self.starts, lengths)]
-        units = _mixed(np.add.reduceat(spelt, self.starts)) if len(letters) else np.empty(0, dtype=np.uint64)
-        del spelt, letters
-        self.first = np.searchsorted(self.starts, np.cumsum(self.sizes) - self.sizes)  # unit of each text
-        self.n = np.diff(np.append(self.first, len(units)))
-        before = np.roll(units, 1)
-        before[self.first] = _START
-        pairs = _mixed(_mixed(before ^ _PAIR) + units)
-        every = np.concatenate([_mixed(units ^ _ONE), _mixed(before ^ _BEFORE), pairs, _mixed(np.array([_ALL]))])
-        self.keys, places = np.unique(every, return_inverse=True)
-        self.one, self.before, self.pair = places[:-1].reshape(3, -1)
-        self.all = places[-1]
-
-    def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Units:
+    """The units of some texts, as places among the distinct ``keys`` under which the count table knows them."""
+
+    def __init__(self, texts: pa.Array, parts: int) -> None:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten()
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        real = pc.greater(pc.binary_length(words), 0)
+        code, distinct = _coded(words.filter(real))
+        owner = owner[real.to_numpy(zero_copy_only=False)]
+        count = np.bincount(owner, minlength=len(texts))
+        filled = count > 0
+        self.n = count + filled  # units of each text
+        close = len(distinct)
+        units = np.full(int(self.n.sum()), close, dtype=np.int64)
+        units[np.arange(len(code)) + (np.cumsum(filled) - 1)[owner]] = code  # the place behind each text's words stays
+        before = np.roll(units, 1)  # every text follows a closing unit
+        pair, pairs = _coded(pa.array(before * (close + 1) + units))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in distinct), dtype=np.uint64, count=close)
+        one = np.append(hashes | _ONE, _CLOSE)
+        first, second = np.divmod(pairs.to_numpy(), close + 1)
+        keys = np.concatenate([one, [_ALL], _mixed(_mixed(one[first] + _STEP) + one[second]) & _EVEN])
+        part = (keys >> np.uint64(1)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(keys), dtype=np.int64)
+        place[order] = np.arange(len(keys))
+        self.keys = keys[order]
+        self.asked, self.bounds = np.unique(part[order], return_index=True)
+        self.one, self.pair = place[units], place[close + 2 + pair]
+        self.close, self.all = int(place[close]), int(place[close + 1])
+
+    def counts(self, good: np.ndarray) -> list[np.ndarray]:
         """How often each key occurs, and how often in the texts that are ``good``."""
-        is_good = np.repeat(good, self.n)
-        out = []
-        for wanted in (slice(None), is_good):
-            n = sum(np.bincount(x[wanted], minlength=len(self.keys)) for x in (self.one, self.before, self.pair))
-            n[self.all] = len(self.one[wanted])
+        out, is_good = [], np.repeat(good, self.n)
+        for one, pair in ((self.one, self.pair), (self.one[is_good], self.pair[is_good])):
+            n = np.bincount(one, minlength=len(self.keys)) + np.bincount(pair, minlength=len(self.keys))
+            n[self.all] = len(one)
             out.append(n)
-        return out[0], out[1]
-
-    def losses(self, counts: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-        """The loss in nats of each text that is not empty; ``counts`` of the keys, ``spelling`` losses of the cells."""
-        if not len(self.starts):
-            return np.empty(0)
-        spelt = -np.add.reduceat(spelling, self.starts, dtype=np.float64)
-        total = float(counts[self.all])
-        with np.errstate(divide="ignore"):
-            alone = np.logaddexp(np.log((1 - SPELT) * counts[self.one] / total), np.log(SPELT) + spelt) if total else spelt
-            found = np.logaddexp(np.log(counts[self.pair].astype(np.float64)), np.log(PAIR_PRIOR) + alone)
-        return -np.add.reduceat(found - np.log(counts[self.before] + PAIR_PRIOR), self.first)
-
+        return out
 
-def _packed(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(values.astype("<i8").tobytes(), codec="zstd", asbytes=True)
 
+def _own(place: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
+    """How often each unit's place occurs in its document."""
+    code, _ = _coded(pa.array(doc * span + place))
+    return np.bincount(code)[code] if len(code) else code
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[8:], 8 * int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), dtype="<i8")
 
+def mean_losses(
+    one: np.ndarray, pair: np.ndarray, n: np.ndarray, good: np.ndarray, close: int, of_all: int, counts: np.ndarray,
+    good_counts: np.ndarray, vocabulary: int, scale: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The mean loss of each document under the target and the background model; 0 for one without units.
 
-BATCH_TYPE = "batch bigint, ids array<bigint>, texts array<string>, good array<boolean>"
-
-
-def _in_batches(flagged: DataFrame) -> DataFrame:
-    """Rows of doc_id, text and is_good, many to a row, under a number that no other batch has."""
+    ``one`` and ``pair`` are the places of all units in the counts, ``n`` the units of each document.
+    """
+    doc = np.repeat(np.arange(len(n)), n)
+    starts = (np.cumsum(n) - n)[n > 0]
+    before = np.roll(one, 1)
+    before[starts] = close
+    own_one, own_pair = _own(one, doc, len(counts)), _own(pair, doc, len(counts))
+    own_before = np.roll(own_one, 1)
+    own_before[starts] = 1
+    out = []
+    for total, seen, weight in ((good_counts, good.astype(float), 1.0), (counts, np.ones(len(n)), scale)):
+        mine = seen[doc]
+        alone = weight * (total[one] - mine * own_one) + UNIT_PRIOR / vocabulary
+        alone /= weight * (total[of_all] - mine * n[doc]) + UNIT_PRIOR
+        both = weight * (total[pair] - mine * own_pair) + PAIR_PRIOR * alone
+        both /= weight * (total[before] - mine * own_before) + PAIR_PRIOR
+        mean = np.zeros(len(n))
+        if len(starts):
+            mean[n > 0] = -np.add.reduceat(np.log(both), starts) / n[n > 0]
+        out.append(mean)
+    return out[0], out[1]
+
+
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    raw = values.astype(kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), dtype=kind)
+
+
+GATHERED = pa.schema([
+    ("batch", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("good", pa.binary()),
+    ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.bool_())), ("one", pa.binary()),
+    ("pair", pa.binary()), ("close", pa.int64()), ("of_all", pa.int64()),
+])
+_GATHERED_SQL = (
+    "batch bigint, part bigint, keys binary, n binary, good binary, ids array<bigint>, sizes array<bigint>, "
+    "targets array<boolean>, one binary, pair binary, close bigint, of_all bigint"
+)
+
+
+def _gathered(flagged: DataFrame, parts: int) -> DataFrame:
+    """For each batch one row of its documents (part -1), and one of what it asks of each part of the count table."""
+
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids, texts, good = (table.column(i).combine_chunks() for i in range(3))
+        flags = good.to_numpy(zero_copy_only=False).astype(bool)
+        units = Units(texts, parts)
+        number = uuid.uuid4().int >> 65
+        docs = {
+            "batch": number, "part": -1, "ids": ids.to_pylist(), "sizes": units.n.tolist(), "targets": flags.tolist(),
+            "one": _packed(units.one, "<i4"), "pair": _packed(units.pair, "<i4"), "close": units.close, "of_all": units.all,
+        }
+        yield pa.RecordBatch.from_pylist([docs], schema=GATHERED)
+        split = [np.split(x, units.bounds[1:]) for x in (units.keys, *units.counts(flags))]
+        asked = [
+            {"batch": number, "part": int(part), "keys": k.tobytes(), "n": _packed(n, "<i8"), "good": _packed(g, "<i8")}
+            for part, k, n, g in zip(units.asked, *split, strict=True)
+        ]
+        for at in range(0, len(asked), 1000):
+            yield pa.RecordBatch.from_pylist(asked[at : at + 1000], schema=GATHERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-
-        def row() -> pa.RecordBatch:
-            ids, texts, good = zip(*held, strict=True)
-            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                       pa.array([texts], pa.list_(pa.string())), pa.array([good], pa.list_(pa.bool_()))]
-            return pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "texts", "good"])
-
         for batch in batches:
-            for doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(doc)
-                size += len(doc[1] or "") + 16
+            begin = 0
+            for i, length in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                size += length + 16
                 if size >= BATCH_BYTES:
-                    yield row()
-                    held, size = [], 0
+                    held.append(batch.slice(begin, i + 1 - begin))
+                    yield from rows(held)
+                    held, size, begin = [], 0, i + 1
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
         if held:
-            yield row()
-
-    return flagged.select("doc_id", "text", "is_good").mapInArrow(run, BATCH_TYPE)
+            yield from rows(held)
 
-
-def _asked(batched: DataFrame, parts: int) -> DataFrame:
-    """(batch, part, keys, n, good): what each batch holds of each part of the count table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, texts, good in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                units = Units(texts)
-                n, g = units.counts(np.array([x for t, x in zip(texts, good, strict=True) if t], dtype=bool))
-                part = (units.keys % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                bounds = np.cumsum(np.bincount(part, minlength=parts))[:-1]
-                places = np.split(order, bounds)
-                columns = [
-                    pa.array([number] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([units.keys[at].tobytes() for at in places], pa.binary()),
-                    *(pa.array([_packed(x[at]) for at in places], pa.binary()) for x in (n, g)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "keys", "n", "good"])
-
-    return batched.mapInArrow(run, "batch bigint, part int, keys binary, n binary, good binary")
+    return flagged.select("doc_id", "text", "is_good").mapInArrow(run, _GATHERED_SQL)
 
 
 def _added(asked: DataFrame) -> DataFrame:
-    """(batch, part, n, good): the sums over all batches, for the keys that each batch asked for and in its order."""
+    """(batch, part, n, good, words): sums over all batches, in the order of the keys that a batch asked for.
+
+    ``words`` is how many distinct words a part knows, said once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("keys")]
+        raw = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column("keys")]
         bounds = np.cumsum([len(x) for x in raw])[:-1]
-        places = np.unique(np.concatenate(raw), return_inverse=True)[1]
-        del raw
+        place, keys = _coded(pa.array(np.concatenate(raw)))
         sums = {}
         for name in ("n", "good"):
-            values = np.concatenate([_unpacked(x.as_py()) for x in table.column(name)])
-            total = np.zeros(int(places.max(initial=-1)) + 1, dtype=np.int64)
-            np.add.at(total, places, values)
-            sums[name] = pa.array([_packed(x) for x in np.split(total[places], bounds)], pa.binary())
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), **sums})
+            values = np.concatenate([_unpacked(x.as_py(), "<i8") for x in table.column(name)])
+            total = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(total, place, values)
+            sums[name] = pa.array([_packed(x, "<i8") for x in np.split(total[place], bounds)], pa.binary())
+        words = np.zeros(table.num_rows, dtype=np.int64)
+        words[0] = np.count_nonzero(keys.to_numpy() & 1)
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), **sums, "words": words})
 
-    return asked.groupBy("part").applyInArrow(run, "batch bigint, part int, n binary, good binary")
+    narrow = asked.select("batch", "part", "keys", "n", "good")
+    return narrow.groupBy("part").applyInArrow(run, "batch bigint, part bigint, n binary, good binary, words bigint")
 
 
 def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,47 +228,29 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``target`` has one column, the ids of the target documents.
     """
-    spark = df.sparkSession
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     good = target.select(F.col(target.columns[0]).cast("long").alias("doc_id")).distinct().withColumn("is_good", F.lit(True))
-    # texts meet their labels by one sort-merge join at every size
-    flagged = narrow.join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
-    batched = materialise(_in_batches(flagged), "texts")
-    single = batched.select(F.explode(F.arrays_zip("texts", "good")).alias("x")).where("x.texts != ''")
-    table = count_trigrams(single.select(F.concat("x.texts", F.lit("\n")).alias("text"), "x.good")).toArrow()
-    cells, n, g = (table.column(i).to_numpy() for i in range(3))
-    model = spark.sparkContext.broadcast((
-        cells, losses(cells, g.astype(np.float64)).astype(np.float32), losses(cells, n.astype(np.float64)).astype(np.float32)
-    ))
-    name = uuid.uuid4().hex
-    sums = materialise(_added(_asked(batched, 1 + int(n.sum()) // PART_BYTES)), "ngrams", rows_at_once=1)
-
-    def run(batch: pa.Table, found: pa.Table) -> pa.Table:
-        near, far = dense_tables(name, model)
+    flagged = narrow.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    gathered = materialise(_gathered(flagged, 1 + size // PART_BYTES), "units")
+    documents = gathered.where("part = -1")
+    sums = materialise(_added(gathered.where("part >= 0")), "ngrams", rows_at_once=100)
+    vocabulary = max(1, sums.agg(F.sum("words")).first()[0] or 0)
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("part")
-        out = []
-        for ids, texts in zip(batch.column("ids").to_pylist(), batch.column("texts").to_pylist(), strict=True):
-            units = Units(texts)
-            # the sums lie by part and then key
-            parts = np.uint64(found.num_rows)
-            order = np.argsort(units.keys % parts, kind="stable")
-            filled = np.array([bool(t) for t in texts])
-            sizes = np.zeros(len(texts), dtype=np.int64)
-            sizes[filled] = units.sizes - 1  # without the line feed that closes the text
-            means = []
-            for column, spelling in (("good", near), ("n", far)):
-                counts = np.empty(len(order), dtype=np.int64)
-                counts[order] = np.concatenate([_unpacked(x.as_py()) for x in found.column(column)])
-                mean = np.zeros(len(texts))
-                mean[filled] = units.losses(counts, spelling[units.cells]) / sizes[filled]
-                means.append(mean)
-            a, b = means
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(a), pa.array(b), pa.array(a - b)]
-            out.append(pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"]))
-        return pa.concat_tables(out)
-
-    asking, answered = batched.select("batch", "ids", "texts").groupBy("batch"), sums.groupBy("batch")
+        n, g = (np.concatenate([_unpacked(x.as_py(), "<i8") for x in found.column(c)]) for c in ("n", "good"))
+        row = docs.slice(0, 1).to_pylist()[0]
+        sizes, of_all = np.array(row["sizes"], dtype=np.int64), row["of_all"]
+        scale = float(g[of_all]) / max(1, int(n[of_all]))
+        one, pair = (_unpacked(row[c], "<i4").astype(np.int64) for c in ("one", "pair"))
+        near, far = mean_losses(one, pair, sizes, np.array(row["targets"]), row["close"], of_all, n, g, vocabulary, scale)
+        columns = [pa.array(row["ids"], pa.int64()), pa.array(sizes), pa.array(near), pa.array(far), pa.array(near - far)]
+        return pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    asking = documents.select("batch", "ids", "sizes", "targets", "one", "pair", "close", "of_all").groupBy("batch")
+    answered = sums.select("batch", "part", "n", "good").groupBy("batch")
     scored = asking.cogroup(answered).applyInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
-    written = materialise(scored, "scores", rows_at_once=1)
-    discard(batched, sums)
+    written = materialise(scored, "scores", rows_at_once=100)
+    discard(gathered, sums)
     return written
