@@ -83,7 +83,30 @@ def test_jaccard_edges(spark):
     got = {(x.doc_id, x.component_id) for x in jaccard.jaccard_components(df).collect()}
     assert {(7, 7), (9, 7), (8, 8)} <= got
     kept = jaccard.keep_one(df)
-    assert kept.columns == df.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["7", "7", "8", "None"]
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [7, 8]  # one row of a group, and rows without words
+    clash = spark.createDataFrame([(1, "one text here"), (1, "another text there"), (2, "another text there"), (None, "one text here"), (3, None)], "doc_id bigint, text string")
+    assert sorted((x.doc_id, x.text) for x in jaccard.keep_one(clash).collect() if x.text) == [(1, "another text there"), (1, "one text here")]
+    assert jaccard.keep_one(clash.limit(0)).count() == 0
+
+
+def test_jaccard_with_crowded_signatures(spark, monkeypatch):
+    """Near documents of one signature, most of them unlinked, cut into many blocks and keys, with one proposal at a time."""
+    for name, value in (("BLOCK_DOCS", 40), ("HOT_ROWS", 20), ("NEAREST", 1), ("NEAREST_GROWTH", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(600):
+        copy = base[:60] + [w if r.random() < 0.5 else f"x{r.randint(0, 1)}{w}" for w in base[60:]]
+        texts.append(" ".join(copy))
+        if i % 7 == 0:
+            copy[r.randrange(120)] = "other"
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    wanted = brute_components(texts, 1, 80)
+    assert 80 < len({c for _, _, c in wanted}) < len(texts)
+    assert sorted(tuple(x) for x in jaccard.jaccard_components(df, width=1, percent=80).collect()) == wanted
 
 
 def test_components(spark):

@@ -14,9 +14,11 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join runs in these steps:
    count once.  Every member is compared with its bucket's smallest document only, and,
    where the links found leave the bucket in several components, with its largest.
 4. Buckets that are still open are compared in blocks of bounded size: sketches bound
-   the distance of two sets from below, and only pairs of different components that
-   may link by that bound are verified.
+   the distance of two sets from below, and of pairs of different components that may
+   link by that bound the nearest few are verified.  While some were left out and their
+   components are still apart, the step repeats with many more of them.
 
+Joins by signature deal a signature that many documents share over several keys.
 So no step emits the pairs of a group, and none loses a link that would join two
 components.  Signatures without elements are not emitted: bands with small parts have
 spare parts, of which linked sets agree in as many more, and a set with more empty
@@ -51,6 +53,10 @@ SLICES = 4
 #: Bytes of sketches that one block of the exact comparison may hold, and documents.
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 1024
 CELLS_PER_EDIT = 32
+#: Rows of one signature that a join keeps together; more are dealt over so many more keys.
+HOT_ROWS = 500
+#: Nearest pairs of two components that a block proposes at first, and how much more each time some were left out.
+NEAREST, NEAREST_GROWTH = 4, 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -169,9 +175,9 @@ def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signed(df: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sigs): size, 128-bit key and signatures of each set; an empty set has no key.
+    """(doc_id, n_shingles, k1, k2, sigs, sketch): size, 128-bit key, signatures and sketch of each set; an empty set has no key.
 
-    Of equal sets that one task meets, only the first gets signatures.
+    Of equal sets that one task meets, only the first gets signatures and a sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +185,7 @@ def signed(df: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sizes, k1, k2, sigs = [], [], [], []
+                sizes, k1, k2, sigs, sketches = [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     found = shingle_hashes(text.as_py(), width)
                     digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
@@ -188,14 +194,26 @@ def signed(df: DataFrame, width: int, percent: int) -> DataFrame:
                     k2.append(digest and int.from_bytes(digest[8:], "little", signed=True))
                     fresh = digest is not None and doc_id is not None and digest not in met
                     sigs.append(scheme.signatures(found).view(np.int64) if fresh else np.empty(0, np.int64))
+                    sketches.append(sketch(found, sketch_cells(scheme.distance(2 * len(found)))).tobytes() if fresh else None)
                     if fresh:
                         met.add(digest)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in (sizes, k1, k2)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "sigs"])
+                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in (sizes, k1, k2)), lists, pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "sigs", "sketch"])
 
-    return df.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+    return df.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>, sketch binary")
+
+
+def _by_signature(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """``rows`` (with sig and doc) joined by signature to ``each``, a written table of one row per signature and its count ``n``.
+
+    A signature with many rows is dealt by document over several keys, of about ``HOT_ROWS`` rows.
+    """
+    hot = each.where(F.col("n") > HOT_ROWS).select("sig", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("keys"))
+    dealt = rows.join(materialise(hot, "hot"), "sig", "left").withColumn("key", F.pmod(F.xxhash64("doc"), F.coalesce("keys", F.lit(1))).cast("int"))
+    known = each.withColumn("key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HOT_ROWS).cast("int") - 1)))
+    return dealt.drop("keys").join(known.drop("n"), ["sig", "key"]).drop("key")
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -209,26 +227,9 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, "doc bigint, items binary")
 
 
-def _sketches(df: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc, n, sketch): the size and the sketch of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent)
-        for batch in batches:
-            sizes, made = [], []
-            for text in batch.column(1):
-                found = shingle_hashes(text.as_py(), width)
-                sizes.append(len(found))
-                made.append(sketch(found, sketch_cells(scheme.distance(2 * len(found)))).tobytes())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sketch"])
-
-    return df.mapInArrow(run, "doc bigint, n bigint, sketch binary")
-
-
 def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that their sketches do not rule out."""
-    joined = pairs.join(sketches.toDF("u", "nu", "su"), "u").join(sketches.toDF("v", "nv", "sv"), "v")
+    """The pairs (hub, leaf) that their sketches do not rule out."""
+    joined = pairs.join(sketches.toDF("leaf", "nv", "sv"), "leaf").join(sketches.toDF("hub", "nu", "su"), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
@@ -240,13 +241,12 @@ def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 good.append(any(True for _ in _near(scheme, n, side, side, both)))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return joined.select("u", "v", "nu", "su", "nv", "sv").mapInArrow(run, "u bigint, v bigint")
+    return joined.select("hub", "leaf", "nu", "su", "nv", "sv").mapInArrow(run, "hub bigint, leaf bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that link."""
-    left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    """(u, v) of the pairs (hub, leaf) that link; the set of a hub, which many pairs may share, is met last and not dealt out again."""
+    joined = pairs.join(sets.toDF("leaf", "b"), "leaf").join(sets.toDF("hub", "a"), "hub").select("hub", "leaf", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
@@ -256,13 +256,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 scheme.links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
                 for x, y in zip(a, b, strict=True)
             ]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=["u", "v"])
 
     return joined.mapInArrow(run, "u bigint, v bigint")
 
 
-def _near(scheme: Scheme, n: np.ndarray, comps: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member its partners in another component that the sketches cannot rule out.
+def _near(scheme: Scheme, n: np.ndarray, comps: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member its partners in another component that the sketches cannot rule out, and in how many bits they differ.
 
     Members of side 0 meet those of side 1; where only one side is given, each meets the later ones.
     """
@@ -275,22 +276,23 @@ def _near(scheme: Scheme, n: np.ndarray, comps: np.ndarray, side: np.ndarray, sk
         most = (100 - scheme.percent) * (n[other] + n[i]) // (100 + scheme.percent)
         other, most = (x[np.abs(n[other] - n[i]) <= most] for x in (other, most))
         differ = np.bitwise_count(folded[other] ^ folded[i]).sum(axis=1, dtype=np.int64)
-        if len(near := other[differ <= most]):
-            yield i, near
+        if (close := differ <= most).any():
+            yield i, other[close], differ[close]
 
 
-def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) in buckets (sig, doc, comp) that lie in two components and may link.
+def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """Pairs (hub, leaf, more) in buckets (sig, doc, comp) that lie in two components and may link.
 
     A bucket is cut into blocks of bounded size and every pair of blocks is compared by
-    sketches, a lower bound of the distance, so no linked pair is missed.
+    sketches, a lower bound of the distance, so no linked pair is missed.  Of two
+    components a pair of blocks gives its ``nearest`` pairs, and says in ``more`` whether it left any out.
     """
-    per = members.join(sketches, "doc")
-    size = per.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("sketch")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("docs") / F.lit(BLOCK_DOCS), F.col("bytes") / F.lit(BLOCK_BYTES)))
-    size = size.select("sig", blocks.cast("int").alias("blocks"))
+    sized = members.join(sketches.select("doc", F.length("sketch").alias("bytes")), "doc")
+    size = sized.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_DOCS), F.col("bytes") / F.lit(BLOCK_BYTES)))
+    size = materialise(size.select("sig", "n", blocks.cast("int").alias("blocks")), "sizes")
     # Block pair (i, j), i <= j, gets block i as side 0 and block j as side 1 (a block with itself: side 0 only).
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(
@@ -299,19 +301,32 @@ def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> Da
         ),
     )
     spread = (
-        per.join(size, "sig").withColumn("own", own).withColumn("pair", F.explode(pairs))
-        .select("sig", "pair.i", "pair.j", "pair.side", "doc", "comp", "n", "sketch")
+        _by_signature(members, size).withColumn("own", own).withColumn("pair", F.explode(pairs))
+        .join(sketches, "doc").select("sig", "pair.i", "pair.j", "pair.side", "doc", "comp", "n", "sketch")
     )
 
     def run(table: pa.Table) -> pa.Table:
         docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "comp", "side", "n"))
         held = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")]
         found = list(_near(Scheme(percent), n, comps, side, held))
-        u = np.concatenate([np.full(len(o), docs[i]) for i, o in found]) if found else np.empty(0, np.int64)
-        v = np.concatenate([docs[o] for _, o in found]) if found else np.empty(0, np.int64)
-        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+        if not found:
+            return _PAIRS.empty_table()
+        u = np.concatenate([np.full(len(o), i) for i, o, _ in found])
+        v, differ = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        low, high = np.minimum(comps[u], comps[v]), np.maximum(comps[u], comps[v])
+        order = np.lexsort((differ, high, low))
+        fresh = np.ones(len(order), dtype=bool)  # the first pair of two components
+        fresh[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        kept = order[np.arange(len(order)) - begin < nearest]
+        more = np.full(len(kept), len(kept) < len(order))
+        a, b = docs[u[kept]], docs[v[kept]]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], schema=_PAIRS)
+
+    return spread.groupBy("sig", "i", "j").applyInArrow(run, "hub bigint, leaf bigint, more boolean")
+
 
-    return spread.groupBy("sig", "i", "j").applyInArrow(run, "u bigint, v bigint").distinct()
+_PAIRS = pa.schema([("hub", pa.int64()), ("leaf", pa.int64()), ("more", pa.bool_())])
 
 
 def _buckets(signatures: DataFrame, copies: DataFrame) -> DataFrame:
@@ -322,14 +337,14 @@ def _buckets(signatures: DataFrame, copies: DataFrame) -> DataFrame:
     parts = []
     for number in range(SLICES):
         part = signatures.where(F.pmod("sig", F.lit(SLICES)) == number)
-        shared = part.groupBy("sig").count().where("count > 1").select("sig")
-        rows = part.join(shared, "sig").join(copies, "doc", "left")
+        shared = materialise(part.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+        rows = _by_signature(part, shared).join(copies, "doc", "left")
         parts.append(materialise(rows.select("sig", F.coalesce("rep", "doc").alias("doc")).distinct(), "shared"))
     rows = reduce(DataFrame.union, parts)
     marks = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     grouped = rows.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), *marks)
     kept = grouped.where("low < high").groupBy("low", "high", "n", "x1", "x2").agg(F.min("sig").alias("sig"))
-    return rows.join(materialise(kept.select("sig"), "buckets"), "sig").select("sig", "doc")
+    return _by_signature(rows, materialise(kept.select("sig", "n"), "buckets")).select("sig", "doc")
 
 
 def jaccard_components(
@@ -342,44 +357,56 @@ def jaccard_components(
     known = keys.where("doc_id IS NOT NULL AND k1 IS NOT NULL")
     classes = materialise(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     copies = known.join(classes.where("n > 1"), ["k1", "k2"]).where("doc_id <> rep")
-    copies = copies.select(F.col("doc_id").alias("doc"), "rep").distinct()
+    copies = materialise(copies.select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
     signatures = made.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
     members = materialise(_buckets(signatures, copies), "members")
-    discard(made)
-
     named = documents.where("doc_id IS NOT NULL")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return named.join(ids.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    def of_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+        wanted = materialise(ids.select(F.col("doc").alias(column)).distinct(), "wanted")
+        return rows.join(wanted, column, "left_semi")
 
-    sketches = materialise(_sketches(texts_of(members), width, percent), "sketches")
-    found, links, residual = None, None, members.withColumn("comp", F.col("doc"))
-    # Two rounds of stars around the smallest and then the largest document of each open bucket, then everything left.
-    for leader in (F.min, F.max, None):
-        if leader is None:
-            slices = [residual.where(F.pmod(F.xxhash64("sig"), F.lit(SLICES)) == i) for i in range(SLICES)]
-            pairs = reduce(DataFrame.union, [materialise(_residual_pairs(x, sketches, percent), "pairs") for x in slices]).distinct()
-        else:
-            stars = residual.join(residual.groupBy("sig").agg(leader(F.struct("doc", "comp")).alias("lead")), "sig")
-            stars = stars.where(F.col("comp") != F.col("lead.comp"))
-            stars = stars.select(F.least("doc", "lead.doc").alias("u"), F.greatest("doc", "lead.doc").alias("v")).distinct()
-            pairs = materialise(_may_link(stars, sketches, percent), "pairs")
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("doc"))
-        sets = materialise(_sets(texts_of(ends), width), "sets")
-        more = materialise(_verified(pairs, sets, percent), "links", 200)
+    drawn = made.where("sketch IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
+    drawn = drawn.join(copies, "doc", "left").select(F.coalesce("rep", "doc").alias("doc"), "n", "sketch")
+    sketches = materialise(of_ids(drawn, "doc", members).dropDuplicates(["doc"]), "sketches")
+    discard(made)
+
+    links: DataFrame | None = None
+    found, residual, labelled = None, members.withColumn("comp", F.col("doc")), members
+
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs, follow all links so far, and keep the buckets that lie in several components."""
+        nonlocal links, found, residual
+        ends = pairs.select(F.explode(F.array("hub", "leaf")).alias("doc"))
+        sets = materialise(_sets(of_ids(named, "doc_id", ends), width), "sets")
+        more = materialise(_verified(pairs, sets.dropDuplicates(["doc"]), percent), "links", 200)
         discard(sets)
         links = more if links is None else links.union(more)
         if found is None or not more.isEmpty():
             found = materialise(connected_components(links), "components")
-        labelled = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
+        labelled = residual.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
             "sig", "doc", F.coalesce("component", "doc").alias("comp")
         )
-        if leader is None:
-            break
-        several = labelled.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-        residual = materialise(labelled.join(several.select("sig"), "sig"), "residual")
+        several = labelled.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"))
+        several = materialise(several.where("a < b").select("sig", "n"), "open")
+        residual = materialise(_by_signature(labelled, several), "residual")
+
+    # Two rounds of stars around the smallest and then the largest document of each open bucket, then everything left.
+    for leader in (F.min, F.max):
+        lead = residual.groupBy("sig").agg(leader(F.struct("doc", "comp")).alias("lead"), F.count(F.lit(1)).alias("n"))
+        stars = _by_signature(residual, materialise(lead, "leaders")).where(F.col("comp") != F.col("lead.comp"))
+        stars = stars.select(F.col("lead.doc").alias("hub"), F.col("doc").alias("leaf")).distinct()
+        settle(materialise(_may_link(stars, sketches, percent), "pairs"))
         if residual.isEmpty():
             break
+    nearest = NEAREST
+    while not residual.isEmpty():
+        slices = [residual.where(F.pmod(F.xxhash64("sig"), F.lit(SLICES)) == i) for i in range(SLICES)]
+        pairs = reduce(DataFrame.union, [materialise(_residual_pairs(x, sketches, percent, nearest), "pairs") for x in slices])
+        settle(materialise(pairs.select("hub", "leaf").distinct(), "pairs"))
+        if pairs.where("more").isEmpty():
+            break
+        nearest *= NEAREST_GROWTH
 
     with_rep = keys.join(classes.drop("n"), ["k1", "k2"], "left")
     placed = with_rep.join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -387,10 +414,23 @@ def jaccard_components(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """The rows without those whose component has a smaller id; columns unchanged."""
+    """One row of each component, that of the smallest id; columns unchanged.
+
+    Rows without words link with nothing and all stay.  Rows are told apart by their ids or,
+    where an id is null or repeats, by numbers that are written down with the rows.
+    """
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    if not ids.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty():
+        rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        found = jaccard_components(rows, "__row", text_col, width, percent).join(
+            rows.select(F.col("__row").alias("doc_id"), F.col(id_col).cast("long").alias("id")), "doc_id"
+        )
+        first = F.struct(F.col("id").isNull().alias("unnamed"), "id", F.col("doc_id").alias("row"))
+        kept = found.groupBy("component_id").agg(F.min(first).alias("first")).select(F.col("first.row").alias("__row"))
+        return rows.join(materialise(kept, "kept"), "__row", "left_semi").select(*df.columns)
     losers = (
         jaccard_components(df, id_col, text_col, width, percent)
-        .where("component_id < doc_id").select(F.col("doc_id").alias("__loser")).distinct()
+        .where("component_id < doc_id").select(F.col("doc_id").alias("__loser"))
     )
     losers = materialise(losers, "losers")
     return df.join(losers, F.col(id_col) == F.col("__loser"), "left_anti")
