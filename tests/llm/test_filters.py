@@ -85,6 +85,32 @@ def test_url_tree_blocks_pure_templates(spark):
     assert url_filter.judge(empty, [bad]).count() == 0
 
 
+def test_url_tree_against_its_sql(spark, tmp_path):
+    """Paths deeper than the loop, hosts without labels, ties and repeated rows, against the registered SQL."""
+    import duckdb
+
+    from tidegraph.llm import queries_filters
+
+    r = random.Random(8)
+    urls = [None, "", "http://", "http://example.com", "http://x.net/" + "/".join("abcdefghij"), "http://x.net/" + "y/" * 40]
+    urls += [f"http://{r.choice('ab')}.com/de/{i}" for i in range(30)] + [f"http://c{i % 4}.net/de/{i}" for i in range(20)]
+    urls += [f"http://example.org/es/{i}" for i in range(30)] + [f"http://c{i % 4}.net/es/{i}" for i in range(20)]
+    urls += [f"http://deep.com/fr/b/c/d/e/f/g{'abcdefghijklmnop'[i % 16]}/h/user{'abcdefghijklmnop'[i // 2]}" for i in range(32)]
+    urls += [f"http://wide.net/{'abcdefghijkl'[i]}/{'mnopqrstuvwx'[i]}/x" for i in range(12)]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate([*urls, *urls[-3:]])], "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    shown = ["page_id", "host", "path", "rule", "verdict", "template"]
+    wanted = db.sql(f"SELECT {', '.join(shown)} FROM ({queries_filters.ORACLE_SQL['op1_url_filters']})").fetchall()
+    got = queries_filters.op1_url_filters(spark, str(tmp_path)).select(*shown).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+    free = {(x.host[-3:], x.template): x.verdict for x in got if x.rule is None}
+    assert free["net", "/es/*"] == "block" and free["net", "/de/*"] == "block"  # learnt from other hosts
+    assert any(x.template == "/fr/b/c/d/e/f/*/h/*" for x in got) and any(x.template.count("/y") == 40 for x in got)
+    assert any(x.template == "/*/*/x" or x.template.startswith("/*/") for x in got)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

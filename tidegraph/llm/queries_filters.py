@@ -66,15 +66,16 @@ def _url_oracle() -> str:
         f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN {{'rule': '{r.text}', 'verdict': '{r.verdict}'}}"
         for r in sorted(URL_RULES, key=lambda r: -len(r.text))
     )
-    levels = ""
-    for d in range(1, url_filter.MAX_DEPTH + 1):
+    levels, top = "", url_filter.TREE_LEVELS
+    few = f"HAVING count(*) >= {url_filter.MIN_CHILDREN} AND sum(n) <= {url_filter.MAX_MEAN_URLS} * count(*)"
+    for d in range(1, top + 1):
         prefix, before = f"array_to_string(tpl[1:{d - 1}], '/')", f"t{d - 1}"
         levels += f"""
 v{d} AS (
   SELECT host, prefix FROM (
     SELECT host, {prefix} AS prefix, tpl[{d}] AS seg, sum(n) AS n FROM {before}
     WHERE len(tpl) >= {d} AND NOT contains(tpl[{d}], '*') GROUP BY ALL)
-  GROUP BY host, prefix HAVING count(*) >= {url_filter.MIN_CHILDREN} AND sum(n) <= {url_filter.MAX_MEAN_URLS} * count(*)),
+  GROUP BY host, prefix {few}),
 t{d} AS (
   SELECT t.host, chain, n, bad, good,
          CASE WHEN v.host IS NOT NULL AND len(tpl) >= {d} AND NOT contains(tpl[{d}], '*')
@@ -86,19 +87,26 @@ h AS (
   SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
          coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host
   FROM u),
-m AS (SELECT *, CASE {case} END AS hit, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x <> '') AS parts FROM h),
 p AS (
   SELECT page_id, host, path, hit.rule AS rule, hit.verdict AS label,
-         CASE WHEN len(parts) <= {url_filter.MAX_DEPTH} THEN parts ELSE parts[1:{url_filter.MAX_DEPTH}] || ['**'] END AS chain
-  FROM m),
+         list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x <> '') AS chain
+  FROM (SELECT *, CASE {case} END AS hit FROM h)),
 t0 AS (
   SELECT host, chain, count(*) AS n, count(*) FILTER (label = 'block') AS bad, count(*) FILTER (label = 'allow') AS good, chain AS tpl
   FROM p GROUP BY host, chain),{levels}
-named AS (SELECT host, chain, bad, good, array_to_string(tpl, '/') AS template, array_to_string(tpl[1:len(tpl) - 1], '/') AS parent FROM t{url_filter.MAX_DEPTH}),
-leaves AS (SELECT host, parent, template, sum(bad) AS bad, sum(good) AS good FROM named GROUP BY ALL),
+below AS (
+  SELECT host, prefix, place, seg, sum(n) AS n FROM (
+    SELECT host, array_to_string(tpl[1:{top}], '/') AS prefix, n, unnest(range({top} + 1, len(tpl) + 1)) AS place, unnest(tpl[{top} + 1:]) AS seg FROM t{top})
+  WHERE NOT contains(seg, '*') GROUP BY ALL),
+deep AS (SELECT host, prefix, list(place) AS places FROM (SELECT host, prefix, place FROM below GROUP BY host, prefix, place {few}) GROUP BY host, prefix),
+named AS (
+  SELECT t.host, chain, bad, good,
+         array_to_string(CASE WHEN places IS NULL THEN tpl ELSE
+           list_transform(tpl, lambda x, i: CASE WHEN list_contains(places, i) AND NOT contains(x, '*') THEN '*' ELSE x END) END, '/') AS template
+  FROM t{top} t LEFT JOIN deep ON t.host = deep.host AND array_to_string(tpl[1:{top}], '/') = prefix),
+leaves AS (SELECT host, template, sum(bad) AS bad, sum(good) AS good FROM named GROUP BY ALL),
 counts AS (
-  SELECT *, sum(bad) OVER (PARTITION BY host, parent) AS pb, sum(good) OVER (PARTITION BY host, parent) AS pg,
-         sum(bad) OVER (PARTITION BY host) AS hb, sum(good) OVER (PARTITION BY host) AS hg,
+  SELECT *, sum(bad) OVER (PARTITION BY template) AS pb, sum(good) OVER (PARTITION BY template) AS pg,
          coalesce(sum(bad) OVER () / nullif(sum(bad + good) OVER (), 0), 0) AS rate
   FROM leaves),
 rates AS (
@@ -108,16 +116,13 @@ rates AS (
 merging AS (
   SELECT *, coalesce(apart < {url_filter.SAME_Z} * sqrt(pooled * (1 - pooled) * (1 / nullif(seen, 0) + 1 / nullif(others, 0))), apart = 0, true) AS merged
   FROM rates),
-judged AS (
-  SELECT host, template, merged, CASE WHEN merged THEN pb ELSE bad END AS b, CASE WHEN merged THEN pg ELSE good END AS g,
-         (hb + {url_filter.SMOOTHING} * rate) / (hb + hg + {url_filter.SMOOTHING}) AS prior
-  FROM merging),
+judged AS (SELECT host, template, rate, CASE WHEN merged THEN pb ELSE bad END AS b, CASE WHEN merged THEN pg ELSE good END AS g FROM merging),
 tree AS (
-  SELECT n.host, chain, '/' || CASE WHEN merged AND n.template <> '' THEN CASE WHEN parent = '' THEN '*' ELSE parent || '/*' END ELSE n.template END AS template,
-         CASE WHEN (b + {url_filter.SMOOTHING} * prior) / (b + g + {url_filter.SMOOTHING}) >= {url_filter.BLOCK_AT} AND b + g >= {url_filter.MIN_LABELS}
+  SELECT n.host, chain, '/' || n.template AS template,
+         CASE WHEN (b + {url_filter.SMOOTHING} * rate) / (b + g + {url_filter.SMOOTHING}) >= {url_filter.BLOCK_AT} AND b + g >= {url_filter.MIN_LABELS}
               THEN 'block' ELSE 'allow' END AS verdict
   FROM named n JOIN judged j ON n.host = j.host AND n.template = j.template)
-SELECT page_id, p.host, path, rule, coalesce(label, tree.verdict, 'allow') AS verdict, template
+SELECT page_id, p.host, path, rule, coalesce(label, CASE WHEN p.host <> '' THEN tree.verdict END, 'allow') AS verdict, template
 FROM p LEFT JOIN tree ON p.host = tree.host AND p.chain = tree.chain
 """
 

@@ -4,20 +4,23 @@ A url is cut into host and path.  Rules such as ``example.org/es/`` decide the u
 they fit; the longest rule wins.  Those urls are also the labels of the method, which
 judges the rest:
 
-1. every path becomes a chain of at most ``MAX_DEPTH`` segments, whose digit runs are
-   already wildcards, and (host, chain) pairs are counted (a partial aggregate, so a
-   hot host shrinks before it is shuffled);
+1. every path becomes a chain of segments, whose digit runs are already wildcards, and
+   (host, chain) pairs are counted (a partial aggregate, so a hot host shrinks before it
+   is shuffled);
 2. level by level a segment under one (host, prefix) turns into ``*`` where the prefix
-   has many children that each hold few urls;
-3. sibling templates whose labelled block rates cannot be told apart by a two-sample
-   z test are merged into their parent;
-4. a template is rejected where its block rate, smoothed towards its host's and that
-   towards the corpus', reaches ``BLOCK_AT`` on at least ``MIN_LABELS`` labelled urls.
+   has many children that each hold few urls; what is deeper than ``TREE_LEVELS`` levels
+   is generalised in one step, each place of it by itself under the prefix of so many levels;
+3. branches of different hosts with one template are merged where a two-sample z test on
+   their labelled block rates cannot tell the host's own from the others, or where the
+   host has no label there;
+4. a template is rejected where the block rate of what it was merged with, smoothed towards
+   the corpus', reaches ``BLOCK_AT`` on at least ``MIN_LABELS`` labelled urls.
 
 Only DataFrame operations run.  The tree holds templates, not urls; pages meet it in
 one equi-join on a narrow row whose tree side is unique, so adaptive execution can split
 a hot host.  A null url, or one without ``://``, has empty host and path, fits no rule
-and is allowed.  Repeated rows are judged alike; other columns are ignored.
+and is allowed.  Repeated rows are judged
+alike; of rules of equal length the first by text wins; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +30,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, materialise
+from .common import lower_ascii, materialise
 
-MAX_DEPTH = 4
+TREE_LEVELS = 6
 #: A prefix with at least so many children, of at most so many urls each on average, is variable.
 MIN_CHILDREN, MAX_MEAN_URLS = 8, 4.0
 #: Below this z value two block rates count as the same.
 SAME_Z = 1.96
-#: Weight, in urls, of the host's rate for a template and of the corpus' rate for a host.
-SMOOTHING = 5.0
+#: Weight, in urls, of the corpus' rate.
+SMOOTHING = 2.0
 BLOCK_AT = 0.8
 #: A template is rejected only on the evidence of so many labelled urls.
 MIN_LABELS = 3
@@ -82,18 +85,23 @@ def match_rules(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first segments with digit runs as ``*``; ``**`` stands for what is deeper."""
-    parts = F.array_remove(F.split(F.regexp_replace(path, "[0-9]+", "*"), "/"), "")
-    return let(parts, lambda x: F.when(F.size(x) <= MAX_DEPTH, x).otherwise(
-        F.concat(F.slice(x, 1, MAX_DEPTH), F.array(F.lit("**")))))
+    """The segments with digit runs as ``*``."""
+    return F.array_remove(F.split(F.regexp_replace(path, "[0-9]+", "*"), "/"), "")
 
 
 def _star_at(depth: int):
     return lambda segment, i: F.when((i == depth) & ~segment.contains("*"), "*").otherwise(segment)
 
 
+def _variable(children: DataFrame, *under: str) -> DataFrame:
+    """Where, of (under, segment, n), many segments hold few urls each."""
+    each = children.where(~F.col("segment").contains("*")).groupBy(*under, "segment").agg(F.sum("n").alias("n"))
+    found = each.groupBy(*under).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("n"))
+    return found.where((F.col("children") >= MIN_CHILDREN) & (F.col("n") <= MAX_MEAN_URLS * F.col("children"))).select(*under)
+
+
 def template_tree(urls: DataFrame) -> DataFrame:
-    """(host, chain) -> (template, verdict) for rows of host, chain and label (``block``, ``allow`` or null)."""
+    """(host, chain) -> (template, purity, tree_verdict) for rows of host, chain and label (``block``, ``allow`` or null)."""
     is_label = lambda v: F.coalesce((F.col("label") == v).cast("long"), F.lit(0).cast("long"))
     tree = (
         urls.groupBy("host", "chain")
@@ -101,62 +109,57 @@ def template_tree(urls: DataFrame) -> DataFrame:
         .withColumn("template", F.col("chain"))
     )
     tree = materialise(tree, "templates")  # every later step reads it more than once
-    for depth in range(1, MAX_DEPTH + 1):
+    deepest = tree.agg(F.max(F.size("chain"))).first()[0] or 0
+    for depth in range(1, min(deepest, TREE_LEVELS) + 1):
         prefix = F.array_join(F.slice("template", 1, depth - 1), "/")
         here = tree.where(F.size("template") >= depth).select(
             "host", prefix.alias("prefix"), F.get("template", F.lit(depth - 1)).alias("segment"), "n"
         )
-        variable = (
-            here.where(~F.col("segment").contains("*"))
-            .groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n"))
-            .groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("n"))
-            .where((F.col("children") >= MIN_CHILDREN) & (F.col("n") <= MAX_MEAN_URLS * F.col("children")))
-            .select("host", "prefix", F.lit(True).alias("variable"))
-        )
         starred = F.transform("template", _star_at(depth - 1))
         tree = (
             tree.withColumn("prefix", prefix)
-            .join(variable, ["host", "prefix"], "left")
+            .join(_variable(here, "host", "prefix").withColumn("variable", F.lit(True)), ["host", "prefix"], "left")
             .withColumn("template", F.when(F.col("variable"), starred).otherwise(F.col("template")))
             .drop("prefix", "variable")
         )
         tree = materialise(tree, "templates")
-    return _judge(tree)
+    return _judge(_deeper(tree) if deepest > TREE_LEVELS else tree)
+
+
+def _deeper(tree: DataFrame) -> DataFrame:
+    """The tree with variable places below the levels of the loop turned into ``*``, in one step however deep a path is."""
+    tree = tree.withColumn("prefix", F.array_join(F.slice("template", 1, TREE_LEVELS), "/"))
+    below = tree.where(F.size("template") > TREE_LEVELS).select("host", "prefix", "n", F.posexplode("template").alias("place", "segment"))
+    places = _variable(below.where(F.col("place") >= TREE_LEVELS), "host", "prefix", "place")
+    places = places.groupBy("host", "prefix").agg(F.collect_list("place").alias("places"))  # at most one path's length
+    starred = F.transform("template", lambda x, i: F.when(F.array_contains("places", i) & ~x.contains("*"), "*").otherwise(x))
+    found = tree.join(places, ["host", "prefix"], "left").withColumn("template", F.when(F.col("places").isNull(), F.col("template")).otherwise(starred))
+    return materialise(found.drop("prefix", "places"), "templates")
 
 
 def _judge(tree: DataFrame) -> DataFrame:
     """Merge what the labels cannot tell apart, smooth, and decide."""
-    total = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
-    parent = F.array_join(F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0))), "/")
-    tree = tree.withColumn("parent", parent).withColumn("template", F.array_join("template", "/"))
-    leaves = materialise(tree.groupBy("host", "parent", "template").agg(*total), "leaves")
-    renamed = lambda df, p: df.select(*(F.col(c).alias(p + c if c in ("bad", "good") else c) for c in df.columns))
-    parents = renamed(leaves.groupBy("host", "parent").agg(*total), "p_")
-    hosts = renamed(leaves.groupBy("host").agg(*total), "h_")
-    corpus = hosts.agg(F.sum("h_bad").alias("bad"), F.sum("h_good").alias("good")).first()  # two numbers
-
-    def smooth(bad: str, good: str, prior: Column) -> Column:
-        return (F.col(bad) + SMOOTHING * prior) / (F.col(bad) + F.col(good) + SMOOTHING)
+    tree = tree.withColumn("template", F.array_join("template", "/"))
+    leaves = materialise(tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "leaves")
+    pools = leaves.groupBy("template").agg(F.sum("bad").alias("p_bad"), F.sum("good").alias("p_good"))
+    corpus = leaves.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()  # two numbers
+    bad, good = corpus["bad"] or 0, corpus["good"] or 0
+    corpus_rate = F.lit(bad / max(1, bad + good))
 
     seen, others = F.col("bad") + F.col("good"), F.col("p_bad") + F.col("p_good") - F.col("bad") - F.col("good")
     pooled = F.try_divide(F.col("p_bad"), F.col("p_bad") + F.col("p_good"))
     apart = F.abs(F.try_divide(F.col("bad"), seen) - F.try_divide(F.col("p_bad") - F.col("bad"), others))
     spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), seen) + F.try_divide(F.lit(1.0), others)))
     merged = F.coalesce(apart < SAME_Z * spread, apart == 0, F.lit(True))
-    pick = lambda own, up: F.when(F.col("merged"), F.col(up)).otherwise(F.col(own))
-    corpus_rate = F.lit((corpus["bad"] or 0) / max(1, (corpus["bad"] or 0) + (corpus["good"] or 0)))
+    pick = lambda own, pool: F.when(F.col("merged"), F.col(pool)).otherwise(F.col(own))
+    labels = F.col("bad") + F.col("good")
     verdicts = (
-        leaves.join(parents, ["host", "parent"]).join(hosts, "host")
-        .withColumn("merged", merged)
+        leaves.join(pools, "template").withColumn("merged", merged)
         .withColumn("bad", pick("bad", "p_bad")).withColumn("good", pick("good", "p_good"))
-        .withColumn("purity", smooth("bad", "good", smooth("h_bad", "h_good", corpus_rate)))
-        .withColumn("labels", F.col("bad") + F.col("good"))
-        .select("host", "template", "purity", "merged", "labels")
+        .select("host", "template", ((F.col("bad") + SMOOTHING * corpus_rate) / (labels + SMOOTHING)).alias("purity"), labels.alias("labels"))
     )
-    judged = tree.join(verdicts, ["host", "template"])
-    shown = F.when(F.col("merged") & (F.col("template") != ""), F.concat_ws("/", F.nullif("parent", F.lit("")), F.lit("*")))
-    return judged.select(
-        "host", "chain", F.concat(F.lit("/"), F.coalesce(shown, F.col("template"))).alias("template"), "purity",
+    return tree.join(verdicts, ["host", "template"]).select(
+        "host", "chain", F.concat(F.lit("/"), "template").alias("template"), "purity",
         F.when((F.col("purity") >= BLOCK_AT) & (F.col("labels") >= MIN_LABELS), "block").otherwise("allow").alias("tree_verdict"),
     )
 
@@ -173,5 +176,5 @@ def judge(df: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col:
     tree = template_tree(pages.select("host", "chain", "label"))
     return pages.join(tree, ["host", "chain"], "left").select(
         "page_id", "host", "path", "rule",
-        F.coalesce("label", "tree_verdict", F.lit("allow")).alias("verdict"), "template", "purity",
+        F.coalesce(F.col("label"), F.when(F.col("host") != "", F.col("tree_verdict")), F.lit("allow")).alias("verdict"), "template", "purity",
     )
