@@ -20,7 +20,10 @@ VOCABULARIES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 
 
 def plain_ids(name, texts):
-    found = tokens._load(vocabulary(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    """By the library alone."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(vocabulary(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)
     return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
 
@@ -113,6 +116,14 @@ def test_plan_is_valid_and_nearly_best():
     assert over <= 6
 
 
+def test_reduction_fixes_one_two_or_three():
+    assert packing.reduce_dominated({50: 3, 26: 1, 24: 1}, 100)[0] == [((50, 50), 1), ((50, 26, 24), 1)]
+    assert packing.reduce_dominated({70: 1, 30: 1, 20: 1, 10: 3}, 100)[0][0] == ((70, 30), 1)
+    assert packing.reduce_dominated({90: 2, 60: 2, 35: 1, 33: 1}, 100)[0][:2] == [((90,), 2), ((60, 35), 1)]
+    assert packing.reduce_dominated({40: 1, 5: 30}, 100) == ([], {40: 1, 5: 30})  # many small pieces: nothing is certain
+    assert packing.reduce_dominated({}, 100) == ([], {})
+
+
 def test_plan_is_fast_at_any_count():
     r = random.Random(4)
     patterns = packing.plan({n: r.randint(1, 10**9) for n in range(1, 2049)})

@@ -6,10 +6,9 @@ one length are alike, so the driver packs a histogram: at most ``size`` counts,
 the corpus.  Its plan is a list of patterns (the lengths of one sequence, and how many
 sequences look like that):
 
-* dominance reduction: a sequence that is filled exactly by one piece, or by two, can
-  be fixed, for no packing does better with those pieces; so can the largest piece
-  with the largest partner that fits it where no two remaining pieces fit beside it, or
-  alone where none does.  The instance shrinks until no rule applies;
+* dominance reduction: for every piece, longest first, a sequence of it alone, with one
+  or with two others is fixed where that dominates all other ways to fill it, so some best
+  packing has it; the instance shrinks until no piece gives one;
 * best fit decreasing packs the remainder: longest first, into the fullest open
   sequences that still have room.
 
@@ -18,7 +17,7 @@ length's k-th place.  Ranks come from counts per task and length, summed by Spar
 neither one task nor the driver ever sees all pieces.
 
 Null and empty texts are documents of the end id alone.  Rows that repeat a doc_id are
-packed as documents of their own.  An empty table gives no rows.
+packed as documents of their own.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,51 +36,114 @@ from .tokens import encoder
 
 SIZE = 2048
 END_ID = 0
-#: Rows of 24 bytes that a join may copy to every executor.
-COPIED_ROWS = 1_000_000
 Pattern = tuple[tuple[int, ...], int]
 
 
+class _Pieces:
+    """A histogram of lengths from which sequences are taken."""
+
+    def __init__(self, lengths: dict[int, int]) -> None:
+        self.count = {n: c for n, c in lengths.items() if c > 0}
+        self.order = sorted(self.count)
+
+    def take(self, pattern: tuple[int, ...]) -> int:
+        """Take out as many sequences like ``pattern`` as there are pieces for."""
+        need = Counter(pattern)
+        times = min(self.count.get(n, 0) // k for n, k in need.items())
+        for n, k in need.items():
+            self.count[n] -= k * times
+            if not self.count[n]:
+                del self.count[n]
+                self.order.pop(bisect_left(self.order, n))
+        return times
+
+    def smallest(self, how_many: int, aside: int, above: int = 0, below: int | None = None) -> list[int]:
+        """The smallest pieces besides one of length ``aside``, between two lengths (both excluded)."""
+        out: list[int] = []
+        for at in range(bisect_right(self.order, above), len(self.order)):
+            n = self.order[at]
+            if below is not None and n >= below:
+                break
+            out += [n] * min(how_many, self.count[n] - (n == aside))
+            if len(out) >= how_many:
+                break
+        return out[:how_many]
+
+    def largest(self, room: int, aside: int) -> int | None:
+        """The largest piece that fits, besides one of length ``aside``."""
+        at = bisect_right(self.order, room) - 1
+        if at >= 0 and self.order[at] == aside and self.count[aside] == 1:
+            at -= 1
+        return self.order[at] if at >= 0 else None
+
+    def fullest_pair(self, room: int, aside: int) -> tuple[int, int] | None:
+        """The two pieces (larger first) that leave least of the room, besides one of length ``aside``."""
+        best, low = None, 0
+        for high in range(bisect_right(self.order, room) - 1, -1, -1):
+            a = self.order[high]
+            if self.count[a] - (a == aside) < 1:
+                continue
+            while low < len(self.order) and self.order[low] + a <= room:
+                low += 1
+            # the largest partner not above a: another piece is wanted where both are of one length
+            at = min(low - 1, high)
+            while at >= 0:
+                b = self.order[at]
+                if self.count[b] - (b == aside) - (b == a) >= 1:
+                    if best is None or a + b > sum(best):
+                        best = (a, b)
+                    break
+                at -= 1
+            if best and 2 * a <= sum(best):
+                break  # smaller first pieces cannot do better
+        return best
+
+
+def _dominating(left: _Pieces, n: int, size: int) -> tuple[int, ...] | None:
+    """A sequence with a piece of length ``n`` that no packing needs to do without, if one can be told.
+
+    What may lie beside the piece is at most one piece, two, or more, which the smallest
+    pieces tell.  One partner: the largest that fits replaces any other.  An exact fill
+    replaces whatever else.  Two at most: the largest single partner does where it is as
+    long as the fullest pair; the fullest pair does where its larger piece is the largest
+    partner and no two pieces between its own lengths fit, for then its pieces replace
+    those of any other pair one by one.
+    """
+    room = size - n
+    partner = left.largest(room, n)
+    if partner is None:
+        return (n,)
+    few = left.smallest(3, n)
+    if partner == room or len(few) < 2 or few[0] + few[1] > room:
+        return (n, partner)
+    if len(few) == 3 and sum(few) <= room:
+        return None
+    pair = left.fullest_pair(room, n)
+    if partner >= sum(pair):
+        return (n, partner)
+    between = left.smallest(2, n, pair[1], pair[0])
+    if partner == pair[0] and (len(between) < 2 or sum(between) > room):
+        return (n, *pair)
+    return None
+
+
 def reduce_dominated(lengths: dict[int, int], size: int = SIZE) -> tuple[list[Pattern], dict[int, int]]:
-    """The sequences that can be fixed for good, and the counts that remain."""
-    left = {n: c for n, c in lengths.items() if c}
-    fixed: list[Pattern] = []
+    """The sequences that can be fixed for good, and the counts that remain.
 
-    def take(pattern: tuple[int, ...], times: int) -> None:
-        fixed.append((pattern, times))
-        for n, c in Counter(pattern).items():
-            left[n] -= c * times
-            if not left[n]:
-                del left[n]
-
-    if size in left:
-        take((size,), left[size])
-    for n in sorted(left, reverse=True):
-        if n in left and 2 * n >= size and size - n in left:
-            if times := (left[n] // 2 if 2 * n == size else min(left[n], left[size - n])):
-                take((n, size - n), times)
-    # The largest piece: with nothing, or with one partner, where no two pieces fit beside it.
-    while left:
-        order = sorted(left)
-        largest, smallest = order[-1], order[0]
-        room = size - largest
-        if smallest > room:
-            take((largest,), left[largest])
-            continue
-        pair = 2 * smallest if left[smallest] > 1 or len(order) == 1 else smallest + order[1]
-        if pair <= room:
-            break
-        # at most one partner fits: the largest that does dominates the others
-        fitting = order[: bisect_right(order, room)]
-        if fitting[-1] == largest and left[largest] == 1:
-            fitting.pop()  # it is no partner of itself
-        if not fitting:
-            take((largest,), 1)
-        elif fitting[-1] == largest:
-            take((largest, largest), left[largest] // 2)
-        else:
-            take((largest, fitting[-1]), min(left[largest], left[fitting[-1]]))
-    return fixed, left
+    Every length is tried, longest first, and all of them again as long as something was
+    fixed.  A decision holds for all equal pieces at once: as others are taken, less fits
+    beside the next, and the sequence that was chosen still does.
+    """
+    left = _Pieces(lengths)
+    fixed: list[Pattern] = []
+    again = True
+    while again:
+        again = False
+        for n in reversed(list(left.order)):
+            while n in left.count and (pattern := _dominating(left, n, size)):
+                fixed.append((pattern, left.take(pattern)))
+                again = True
+    return fixed, left.count
 
 
 def best_fit(lengths: dict[int, int], size: int = SIZE) -> list[Pattern]:
@@ -216,10 +278,7 @@ def pack(
                 names=["doc_id", "piece", "start", "length", "tokens", "sequence_id", "offset"],
             )
 
-    # One short row per task and length: copied to the executors while that is small, else both sides are shuffled.
-    before = ranks.select("task", "length", "before")
-    if ranks.count() <= COPIED_ROWS:
-        before = F.broadcast(before)
+    before = ranks.select("task", "length", "before")  # one short row per task and length
     ranked = cut.join(before, ["task", "length"]).select(
         "doc_id", "piece", "start", "length", "tokens", (F.col("before") + F.col("nth")).alias("rank")
     )

@@ -8,17 +8,19 @@ where every chunk's planes lie and where every document starts, so a reader can
 any range of ids by touching only the chunks that hold it.
 
 ``write_tokens`` range-partitions documents by id, tokenizes and encodes them in that
-order and writes one shard per partition.  A task writes under a name of its own and
-renames the finished file, so a task that runs twice after a lost executor leaves the
-same shard.  Memory is bounded by one chunk and the shard's index.  Null and empty
-texts are documents of the end id alone; rows that repeat a doc_id stay separate
-documents next to each other, ordered by content.  Rows without a doc_id come first.
+order and writes one shard per partition, of about ``SHARD_BYTES`` of text.  Every attempt
+of a task writes a file of its own, and only the file of the attempt that Spark accepted
+is named in what ``write_tokens`` returns; what a lost attempt left is never read.  Memory
+is bounded by one chunk, one document and the shard's index.  Null and empty texts are documents
+of the end id alone; rows that repeat a doc_id stay separate documents next to each other,
+ordered by content, and may fill several shards unless their texts are equal too.  Rows
+without a doc_id come first, by content.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,8 @@ MAGIC = b"TGPLANE1"
 CHUNK_IDS = 1 << 16
 END_ID = 0
 LEVEL = 3
+#: Text that one shard holds, about.
+SHARD_BYTES = 32 << 20
 
 
 def to_planes(ids: np.ndarray, unit: str = "bit") -> list[bytes]:
@@ -178,29 +182,29 @@ def write_tokens(
     ``folder`` is a uri that the driver and all executors share.
     """
     spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = narrow.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    if not shards:
+        size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = narrow.repartitionByRange(shards, *place).sortWithinPartitions(*place)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        number = context.partitionId()
+        number = TaskContext.get().partitionId()
         disk, root = _filesystem(folder)
         disk.create_dir(root, recursive=True)
-        final = f"{root}/shard-{number:06d}.tgp"
-        own = f"{final}.{context.taskAttemptId()}.{os.getpid()}.part"
+        path = f"{root}/shard-{number:06d}-{uuid.uuid4().hex}.tgp"
         encode, end = encoder(vocabulary, keeps_space), np.array([END_ID], dtype="<u4").tobytes()
-        sink = disk.open_output_stream(own)
+        sink = disk.open_output_stream(path)
         writer = ShardWriter(sink, unit)
         for block in (b for batch in batches for b in encode.encode_rows(batch)):
             for doc_id, ids in block:
                 writer.add(doc_id, ids + end)
         writer.close()
         sink.close()
-        disk.move(own, final)
-        yield pa.RecordBatch.from_pydict({"shard": [number], "total": [writer.total], "path": [final]})
+        yield pa.RecordBatch.from_pydict({"shard": [number], "total": [writer.total], "path": [path]})
 
     return ordered.mapInArrow(write, "shard bigint, total bigint, path string")
 
