@@ -7,7 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,13 +97,44 @@ def materialise(df: DataFrame, name: str, rows_at_once: int = 1000) -> DataFrame
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("_MADE", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised inside go when the block ends, but for those handed to the function that it gives."""
+    outer, made, kept = _MADE.get(), [], set()
+    token = _MADE.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df))
+        return df
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            if any(folder.endswith(path.rpartition("/")[2]) for folder in kept):
+                if outer is not None:
+                    outer.append(path)
+            else:
+                release(spark, path)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {file.rpartition("/")[0] for file in df.inputFiles()}
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for df in tables:
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        for folder in _folders(df):
             release(df.sparkSession, folder)
 
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, temporary
 from .components import connected_components
 
 BAND_GROWTH = 1.3
@@ -351,7 +351,11 @@ def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per input row."""
-    documents = _narrow(df, id_col, text_col)
+    with temporary(df.sparkSession) as keep:
+        return keep(materialise(_components(_narrow(df, id_col, text_col), width, percent), "components"))
+
+
+def _components(documents: DataFrame, width: int, percent: int) -> DataFrame:
     made = materialise(signed(documents, width, percent), "signed")
     keys = materialise(made.select("doc_id", "n_shingles", "k1", "k2"), "keys")
     known = keys.where("doc_id IS NOT NULL AND k1 IS NOT NULL")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import packing, token_store
-from .common import materialise, scratch_path, table
+from .common import materialise, scratch_path, table, temporary
 
 
 def vocabulary(name: str) -> str:
@@ -50,9 +50,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame) -> DataFrame:
-    packed = packing.pack(documents, vocabulary("word_bpe_49k.json"), False)
+    """The pieces with the crc32 of their ids in place of the ids; nulls, ties and repeated rows as ``packing`` has them."""
     wanted = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return materialise(_with_crc(packed, wanted), "digests")
+    with temporary(documents.sparkSession) as keep:
+        packed = packing.pack(documents, vocabulary("word_bpe_49k.json"), False)
+        return keep(materialise(_with_crc(packed, wanted), "digests"))
 
 
 QUERIES = {"op7_token_store": op7_token_store, "op8_best_fit_packing": op8_best_fit_packing}

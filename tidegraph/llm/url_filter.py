@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import lower_ascii, materialise, temporary
 
 TREE_LEVELS = 6
 #: A prefix with at least so many children, of at most so many urls each on average, is variable.
@@ -102,6 +102,11 @@ def _variable(children: DataFrame, *under: str) -> DataFrame:
 
 def template_tree(urls: DataFrame) -> DataFrame:
     """(host, chain) -> (template, purity, tree_verdict) for rows of host, chain and label (``block``, ``allow`` or null)."""
+    with temporary(urls.sparkSession) as keep:
+        return keep(materialise(_template_tree(urls), "tree"))
+
+
+def _template_tree(urls: DataFrame) -> DataFrame:
     is_label = lambda v: F.coalesce((F.col("label") == v).cast("long"), F.lit(0).cast("long"))
     tree = (
         urls.groupBy("host", "chain")
