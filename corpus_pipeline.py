@@ -1,5 +1,7 @@
 """From raw documents to packed training sequences, one stage after the other.
 
+An empty table passes through every stage; columns that a stage does not name are carried along.
+
 Every stage takes what its predecessor kept and returns the columns of ``documents``;
 the last returns the packed pieces.  Between stages the rows are written as Parquet in
 the folder of ``spark.checkpoint.dir`` and read again, so a lost executor never costs
@@ -16,27 +18,41 @@ from tidegraph.llm.queries_tokens import pack_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Every row is judged by its text alone: null, empty and blank texts have fewer than 20
+    words and go, repeated rows fare alike, ids do not matter.
+    """
     return quality.apply_rules(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: word 5-shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays: word 5-shingles, similarity 0.8 or more.
+
+    It is the one of the smallest id; of rows that share that id, or of a group without
+    ids, any one.  Rows without words are no duplicates of each other.
+    """
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Every row is judged by its text alone, whatever its id; null and empty texts hold nothing.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets; every row stays, null texts as they are."""
     return pii.redact_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048."""
+    """Token pieces in sequences of 2048.
+
+    Null and empty texts are one piece of the end id; rows that repeat an id are packed each for itself.
+    """
     return pack_documents(docs)
 
 
