@@ -80,8 +80,8 @@ _WHILE_WRITING = {
 }
 
 
-def materialise(df: DataFrame, name: str, rows_at_once: int = 1000) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+def materialise(df: DataFrame, name: str, rows_at_once: int = 1000, by: str | None = None) -> DataFrame:
+    """Write ``df`` once into the shared folder, in folders by a column if one is named, and read it back.
 
     This cuts the lineage: a lost executor later costs a re-read, and values made by
     a task (partition numbers, ranks) stay what they were.
@@ -93,7 +93,8 @@ def materialise(df: DataFrame, name: str, rows_at_once: int = 1000) -> DataFrame
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
@@ -138,6 +139,13 @@ def discard(*tables: DataFrame) -> None:
             release(df.sparkSession, folder)
 
 
+def discard_part(df: DataFrame, folder: str) -> None:
+    """Delete one folder of a table that was written in folders by a column."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if path.endswith("/" + folder):
+            release(df.sparkSession, path)
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a folder under the shared root through Spark's own file system layer."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, discard_part, materialise
 
 #: Weight of the lower order in each interpolation, as a count.
 UNIT_PRIOR, PAIR_PRIOR = 8.0, 8.0
@@ -44,9 +44,10 @@ UNIT_PRIOR, PAIR_PRIOR = 8.0, 8.0
 BATCH_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 
-# Keys of words are odd and all others even.
-_CLOSE, _ALL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2127599BF4325C36)
-_ONE, _EVEN = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFE)
+# Keys have 56 bits; those of words are odd and all others even.
+KEY_BITS = 56
+_CLOSE, _ALL = np.uint64(0xE8FEB86659FD93), np.uint64(0x27599BF4325C36)
+_CUT, _ONE, _EVEN = np.uint64(64 - KEY_BITS), np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFE)
 _STEP, _M1, _M2 = (np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -81,15 +82,16 @@ class Units:
         before = np.roll(units, 1)  # every text follows a closing unit
         pair, pairs = _coded(pa.array(before * (close + 1) + units))
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in distinct), dtype=np.uint64, count=close)
-        one = np.append(hashes | _ONE, _CLOSE)
+        one = np.append((hashes >> _CUT) | _ONE, _CLOSE)
         first, second = np.divmod(pairs.to_numpy(), close + 1)
-        keys = np.concatenate([one, [_ALL], _mixed(_mixed(one[first] + _STEP) + one[second]) & _EVEN])
-        part = (keys >> np.uint64(1)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
+        keys = np.concatenate([one, [_ALL], (_mixed(_mixed(one[first] + _STEP) + one[second]) >> _CUT) & _EVEN])
+        order = np.argsort(keys)
         place = np.empty(len(keys), dtype=np.int64)
         place[order] = np.arange(len(keys))
         self.keys = keys[order]
-        self.asked, self.bounds = np.unique(part[order], return_index=True)
+        # parts are ranges of keys
+        part = ((self.keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+        self.asked, self.bounds = np.unique(part, return_index=True)
         self.one, self.pair = place[units], place[close + 2 + pair]
         self.close, self.all = int(place[close]), int(place[close + 1])
 
@@ -147,19 +149,30 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), dtype=kind)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the byte planes of their steps, of which the upper ones are nearly empty."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8")
+    return _packed(steps.view(np.uint8).reshape(-1, 8).T, "u1")
+
+
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    planes = _unpacked(raw, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64).view(np.int64)
+
+
 GATHERED = pa.schema([
-    ("batch", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("good", pa.binary()),
+    ("asked", pa.bool_()), ("batch", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("good", pa.binary()),
     ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.bool_())), ("one", pa.binary()),
     ("pair", pa.binary()), ("close", pa.int64()), ("of_all", pa.int64()),
 ])
 _GATHERED_SQL = (
-    "batch bigint, part bigint, keys binary, n binary, good binary, ids array<bigint>, sizes array<bigint>, "
+    "asked boolean, batch bigint, part bigint, keys binary, n binary, good binary, ids array<bigint>, sizes array<bigint>, "
     "targets array<boolean>, one binary, pair binary, close bigint, of_all bigint"
 )
 
 
 def _gathered(flagged: DataFrame, parts: int) -> DataFrame:
-    """For each batch one row of its documents (part -1), and one of what it asks of each part of the count table."""
+    """For each batch one row of its documents, and one of what it has ``asked`` of each part of the count table."""
 
     def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -168,13 +181,13 @@ def _gathered(flagged: DataFrame, parts: int) -> DataFrame:
         units = Units(texts, parts)
         number = uuid.uuid4().int >> 65
         docs = {
-            "batch": number, "part": -1, "ids": ids.to_pylist(), "sizes": units.n.tolist(), "targets": flags.tolist(),
+            "asked": False, "batch": number, "ids": ids.to_pylist(), "sizes": units.n.tolist(), "targets": flags.tolist(),
             "one": _packed(units.one, "<i4"), "pair": _packed(units.pair, "<i4"), "close": units.close, "of_all": units.all,
         }
         yield pa.RecordBatch.from_pylist([docs], schema=GATHERED)
         split = [np.split(x, units.bounds[1:]) for x in (units.keys, *units.counts(flags))]
         asked = [
-            {"batch": number, "part": int(part), "keys": k.tobytes(), "n": _packed(n, "<i8"), "good": _packed(g, "<i8")}
+            {"asked": True, "batch": number, "part": int(part), "keys": _packed_keys(k), "n": _packed(n, "<i8"), "good": _packed(g, "<i8")}
             for part, k, n, g in zip(units.asked, *split, strict=True)
         ]
         for at in range(0, len(asked), 1000):
@@ -206,7 +219,7 @@ def _added(asked: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column("keys")]
+        raw = [_unpacked_keys(x.as_py()) for x in table.column("keys")]
         bounds = np.cumsum([len(x) for x in raw])[:-1]
         place, keys = _coded(pa.array(np.concatenate(raw)))
         sums = {}
@@ -232,9 +245,10 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     good = target.select(F.col(target.columns[0]).cast("long").alias("doc_id")).distinct().withColumn("is_good", F.lit(True))
     flagged = narrow.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    gathered = materialise(_gathered(flagged, 1 + size // PART_BYTES), "units")
-    documents = gathered.where("part = -1")
-    sums = materialise(_added(gathered.where("part >= 0")), "ngrams", rows_at_once=100)
+    gathered = materialise(_gathered(flagged, 1 + size // PART_BYTES), "units", by="asked")
+    documents = gathered.where("NOT asked")
+    sums = materialise(_added(gathered.where("asked")), "ngrams", rows_at_once=100)
+    discard_part(gathered, "asked=true")
     vocabulary = max(1, sums.agg(F.sum("words")).first()[0] or 0)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -252,5 +266,5 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     answered = sums.select("batch", "part", "n", "good").groupBy("batch")
     scored = asking.cogroup(answered).applyInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
     written = materialise(scored, "scores", rows_at_once=100)
-    discard(gathered, sums)
+    discard(documents, sums)
     return written
