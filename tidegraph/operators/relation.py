@@ -28,6 +28,8 @@ class Relation:
     df: DataFrame
     fields: tuple[Field, ...]
     order: tuple[str, ...]
+    #: Whether the order columns are where the rows lie in a source: no two alike, and the same at every load.
+    placed: bool = False
 
     @property
     def schema(self) -> list[tuple[str, str]]:
@@ -82,7 +84,7 @@ def from_dataframe(df: DataFrame, order_by: list[str] | None = None, places: lis
     before = [df[name].alias(f"o{i}") for i, name in enumerate(order_by or [])]
     scan = [df[p] for p in places] or [F.monotonically_increasing_id()]
     keys = [*before, *(c.alias(f"o{len(before) + i}") for i, c in enumerate(scan))]
-    return Relation(df.select(*columns, *keys), tuple(fields), tuple(f"o{i}" for i in range(len(keys))))
+    return Relation(df.select(*columns, *keys), tuple(fields), tuple(f"o{i}" for i in range(len(keys))), bool(places))
 
 
 def sort_columns(column: Column, kind: str, descending: bool) -> list[Column]:

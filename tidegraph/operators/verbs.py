@@ -43,7 +43,7 @@ def predicate(column: Column, kind: str, op: str, value: object) -> Column:
 
 def filter_rows(rel: Relation, column: str, op: str, value: object) -> Relation:
     f = rel.field(column)
-    return Relation(rel.df.where(predicate(F.col(f.at), f.kind, op, value)), rel.fields, rel.order)
+    return Relation(rel.df.where(predicate(F.col(f.at), f.kind, op, value)), rel.fields, rel.order, rel.placed)
 
 
 def scope_of(rel: Relation, params: dict[str, object] | None = None) -> Scope:
@@ -64,14 +64,14 @@ def derive(rel: Relation, name: str, expr: str | Node, params: dict[str, object]
         raise EngineError(f"there already is a column `{name}`")
     typed = compile_expr(parse(expr) if isinstance(expr, str) else expr, scope_of(rel, params))
     at = _fresh(rel)
-    return Relation(rel.df.withColumn(at, typed.column), (*rel.fields, Field(name, typed.kind, at)), rel.order)
+    return Relation(rel.df.withColumn(at, typed.column), (*rel.fields, Field(name, typed.kind, at)), rel.order, rel.placed)
 
 
 def select(rel: Relation, names: list[str]) -> Relation:
     """These columns in this order; a repeated name gives repeated columns."""
     fields = tuple(rel.field(n) for n in names)
     kept = dict.fromkeys(f.at for f in fields)
-    return Relation(rel.df.select(*kept, *rel.order), fields, rel.order)
+    return Relation(rel.df.select(*kept, *rel.order), fields, rel.order, rel.placed)
 
 
 def sort(rel: Relation, column: str, descending: bool = False) -> Relation:

@@ -40,7 +40,7 @@ class AppSession:
         self.app = app
         self.core = Session(app.graph)
         self.resumed = self._resume(resume) if resume else Resumed()
-        self.core.commit()
+        self.core.commit(run=False)
         self.trace = self.core.refresh()
         self._shown: dict[int, str] = {}
         self.views = self._render(range(len(app.panes)))
@@ -121,7 +121,7 @@ def nudged(rel: Relation, column: str) -> Relation:
     f = rel.field(column)
     c = F.col(f.at)
     new = {"int": F.try_add(c, F.lit(1).cast("long")), "float": c + 1.0, "bool": ~c, "text": F.concat(c, F.lit("*"))}[f.kind]
-    return Relation(rel.df.withColumn(f.at, new), rel.fields, rel.order)
+    return Relation(rel.df.withColumn(f.at, new), rel.fields, rel.order, rel.placed)
 
 
 def explain(app: App, sets: dict[str, object] | None = None, change_column: tuple[str, str] | None = None) -> str:

@@ -334,9 +334,7 @@ def _cell(name: str, spec: dict, kind_of) -> tuple[Cell, object]:  # noqa: ANN00
             raise EngineError(f"`{step.verb}` comes after the pipeline has ended in a single value, or needs a table")
         kind = step_schema(kind, step, kind_of)
     inputs = tuple(dict.fromkeys([origin, *_inputs(steps)]))
-    known = {}
-    if isinstance(kind_of(origin), list) and inputs.count(origin) == 1 and origin not in _inputs(steps):
-        known[origin] = reads(steps)
+    known = reads(origin, steps, kind_of) if isinstance(kind_of(origin), list) else {}
     place = spec.get("place", "server")
     if place not in ("server", "page"):
         raise EngineError("place is server or page")

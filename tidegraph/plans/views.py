@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass
+from decimal import Decimal
 
 from ..operators.relation import Relation
 from ..types import BOOL, FLOAT, INT, TEXT, EngineError, type_of_value
@@ -65,16 +67,26 @@ class View:
         return of_scalar(repr(sorted(asdict(self).items()))).whole
 
 
+def _format_float(value: float) -> str:
+    """Whole numbers without decimals, all others in full and never with an exponent."""
+    if value != value:
+        return "NaN"
+    if value in (math.inf, -math.inf):
+        return "inf" if value > 0 else "-inf"
+    return f"{value:.0f}" if value == int(value) and abs(value) < 1e15 else format(Decimal(repr(value)), "f").removesuffix(".0")
+
+
 def format_scalar(value: object) -> str:
     if value is None:
         return "—"
     if isinstance(value, bool):
         return "yes" if value else "no"
     if isinstance(value, float):
-        return f"{value:.0f}" if value == value and abs(value) < 1e15 and value == int(value) else repr(value)
+        return _format_float(value)
+    if isinstance(value, (list, tuple)):
+        return ", ".join(format_scalar(v) for v in value)
     if isinstance(value, Relation):
-        n, m = value.count(), len(value.fields)
-        return f"{n} row{'s' * (n != 1)} × {m} column{'s' * (m != 1)}"
+        return f"{value.count()} rows × {len(value.fields)} columns"
     return str(value)
 
 
@@ -84,14 +96,24 @@ def _table(pane: Pane, value: object) -> Relation:
     return value
 
 
-def _numbers(rel: Relation, column: str, values: list) -> list[float]:
-    if rel.field(column).kind not in (INT, FLOAT):
-        raise EngineError(f"column `{column}` is {rel.field(column).kind}; a chart needs numbers")
-    if any(v is None for v in values):
-        raise EngineError(f"column `{column}` has empty values, which a chart cannot place")
+def _numbers(column: str, kind: str, values: list) -> list[float]:
+    if kind not in (INT, FLOAT):
+        raise EngineError(f"column `{column}` is {kind}; a chart needs numbers")
+    if None in values:
+        raise EngineError(f"column `{column}` is empty in row {values.index(None)}, which a chart cannot place")
     return [float(v) for v in values]
 
 
+def _plotted(pane: Pane, value: object, x: str, y: str) -> tuple[list[tuple[str, str]], list[tuple]]:
+    """(name, type) of the two columns of a chart, and their values in all rows."""
+    rel = _table(pane, value)
+    fields = [rel.field(pane.option(n)) for n in (x, y)]
+    for f in fields[0 if pane.kind == "line" else 1 :]:
+        _numbers(f.name, f.kind, [])
+    rows = rel.df.orderBy(*rel.order).select(*(rel.df[f.at].alias(f"p{i}") for i, f in enumerate(fields))).collect()
+    return [(f.name, f.kind) for f in fields], [tuple(r) for r in rows]
+
+
 def render(pane: Pane, value: object) -> View:
     """The payload of a pane; only rows that are shown leave Spark."""
     if isinstance(value, Failure):
@@ -108,16 +130,14 @@ def render(pane: Pane, value: object) -> View:
     if pane.kind == "table":
         rel = _table(pane, value)
         return View("table", pane.title, {"columns": rel.names, "rows": rel.head(pane.option("max_rows", MAX_ROWS)), "total_rows": rel.count()})
-    if pane.kind in ("bar", "line"):
-        rel = _table(pane, value)
-        x, y = ("label_column", "value_column") if pane.kind == "bar" else ("x_column", "y_column")
-        names = (pane.option(x), pane.option(y))
-        at = [rel.names.index(rel.field(n).name) for n in names]
-        rows = rel.head(pane.option("max_rows", MAX_CUSTOM_ROWS))
-        ys = _numbers(rel, names[1], [r[at[1]] for r in rows])
-        if pane.kind == "bar":
-            return View("bar", pane.title, {"labels": [format_scalar(r[at[0]]) for r in rows], "values": ys})
-        return View("line", pane.title, {"x": _numbers(rel, names[0], [r[at[0]] for r in rows]), "y": ys})
+    if pane.kind == "bar":
+        ((_, _), (name, kind)), rows = _plotted(pane, value, "label_column", "value_column")
+        labels, values = [format_scalar(r[0]) for r in rows], _numbers(name, kind, [r[1] for r in rows])
+        return View("bar", pane.title, {"labels": labels, "values": values, "value_label": name})
+    if pane.kind == "line":
+        ends, rows = _plotted(pane, value, "x_column", "y_column")
+        xs, ys = (_numbers(*end, [r[i] for r in rows]) for i, end in enumerate(ends))
+        return View("line", pane.title, {"x": xs, "y": ys, "x_label": ends[0][0], "y_label": ends[1][0]})
     if pane.kind == "custom":
         if not isinstance(value, Relation):
             return View("custom", pane.title, {"renderer": pane.option("renderer"), "value": value})

@@ -102,10 +102,10 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     """
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     single = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
-    df = fresh(spark.read.parquet(path))
+    df = spark.read.parquet(path)
     places = ["_metadata.row_index as __row"] if single else ["_metadata.file_path as __file", "_metadata.row_index as __row"]
     shown = columns or [f"`{c}`" for c in df.columns]
-    return from_dataframe(df.selectExpr(*shown, *places), places=[p.rpartition(" ")[2] for p in places])
+    return from_dataframe(fresh(df.selectExpr(*shown, *places)), places=[p.rpartition(" ")[2] for p in places])
 
 
 @dataclass(frozen=True)
