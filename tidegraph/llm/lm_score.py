@@ -42,7 +42,7 @@ from .common import discard, discard_part, materialise
 UNIT_PRIOR, PAIR_PRIOR = 8.0, 8.0
 #: Bytes of text in a batch, and about so many for each part of the count table.
 BATCH_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 # Keys have 56 bits; those of words are odd and all others even.
 KEY_BITS = 56
@@ -64,37 +64,47 @@ def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 class Units:
-    """The units of some texts, as places among the distinct ``keys`` under which the count table knows them."""
+    """The units of some texts, as places among the distinct ``keys`` under which the count table knows them.
 
-    def __init__(self, texts: pa.Array, parts: int) -> None:
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = lists.flatten()
-        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
-        real = pc.greater(pc.binary_length(words), 0)
-        code, distinct = _coded(words.filter(real))
-        owner = owner[real.to_numpy(zero_copy_only=False)]
-        count = np.bincount(owner, minlength=len(texts))
-        filled = count > 0
-        self.n = count + filled  # units of each text
-        close = len(distinct)
-        units = np.full(int(self.n.sum()), close, dtype=np.int64)
-        units[np.arange(len(code)) + (np.cumsum(filled) - 1)[owner]] = code  # the place behind each text's words stays
-        before = np.roll(units, 1)  # every text follows a closing unit
-        pair, pairs = _coded(pa.array(before * (close + 1) + units))
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in distinct), dtype=np.uint64, count=close)
-        one = np.append((hashes >> _CUT) | _ONE, _CLOSE)
+    ``words`` are the keys of the distinct words, ``code`` says for every unit which of them
+    it is, one more standing for the closing unit, and ``n`` how many units a text has.
+    All the rest follows from these three.
+    """
+
+    def __init__(self, words: np.ndarray, code: np.ndarray, n: np.ndarray) -> None:
+        self.words, self.code, self.n = words, code, n
+        close = len(words)
+        pair, pairs = _coded(pa.array(np.roll(code, 1) * (close + 1) + code))  # every text follows a closing unit
+        one = np.append(words, _CLOSE)
         first, second = np.divmod(pairs.to_numpy(), close + 1)
         keys = np.concatenate([one, [_ALL], (_mixed(_mixed(one[first] + _STEP) + one[second]) >> _CUT) & _EVEN])
         order = np.argsort(keys)
         place = np.empty(len(keys), dtype=np.int64)
         place[order] = np.arange(len(keys))
         self.keys = keys[order]
-        # parts are ranges of keys
-        part = ((self.keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
-        self.asked, self.bounds = np.unique(part, return_index=True)
-        self.one, self.pair = place[units], place[close + 2 + pair]
+        self.one, self.pair = place[code], place[close + 2 + pair]
         self.close, self.all = int(place[close]), int(place[close + 1])
 
+    @classmethod
+    def of_texts(cls, texts: pa.Array) -> Units:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten()
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        real = pc.greater(pc.binary_length(words), 0)
+        found, distinct = _coded(words.filter(real))
+        owner = owner[real.to_numpy(zero_copy_only=False)]
+        count = np.bincount(owner, minlength=len(texts))
+        filled = count > 0
+        code = np.full(len(found) + int(filled.sum()), len(distinct), dtype=np.int64)
+        code[np.arange(len(found)) + (np.cumsum(filled) - 1)[owner]] = found  # the place behind each text's words stays
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in distinct), dtype=np.uint64, count=len(distinct))
+        return cls((hashes >> _CUT) | _ONE, code, count + filled)
+
+    def parts(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of the count table that know the keys, and where each one's keys begin; parts are ranges of keys."""
+        part = ((self.keys >> np.uint64(KEY_BITS - 32)) * np.uint64(count)) >> np.uint64(32)
+        return np.unique(part, return_index=True)
+
     def counts(self, good: np.ndarray) -> list[np.ndarray]:
         """How often each key occurs, and how often in the texts that are ``good``."""
         out, is_good = [], np.repeat(good, self.n)
@@ -112,17 +122,18 @@ def _own(place: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
 
 
 def mean_losses(
-    one: np.ndarray, pair: np.ndarray, n: np.ndarray, good: np.ndarray, close: int, of_all: int, counts: np.ndarray,
-    good_counts: np.ndarray, vocabulary: int, scale: float,
-) -> tuple[np.ndarray, np.ndarray]:
+    units: Units, good: np.ndarray, counts: np.ndarray, good_counts: np.ndarray, vocabulary: int
+) -> tuple[np.ndarray, np.ndarray]:
     """The mean loss of each document under the target and the background model; 0 for one without units.
 
-    ``one`` and ``pair`` are the places of all units in the counts, ``n`` the units of each document.
+    The counts are those of the units' keys over all documents and over those that are ``good``.
     """
+    one, pair, n, of_all = units.one, units.pair, units.n, units.all
+    scale = float(good_counts[of_all]) / max(1, int(counts[of_all]))
     doc = np.repeat(np.arange(len(n)), n)
     starts = (np.cumsum(n) - n)[n > 0]
     before = np.roll(one, 1)
-    before[starts] = close
+    before[starts] = units.close
     own_one, own_pair = _own(one, doc, len(counts)), _own(pair, doc, len(counts))
     own_before = np.roll(own_one, 1)
     own_before[starts] = 1
@@ -149,25 +160,33 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), dtype=kind)
 
 
+def _packed_planes(values: np.ndarray) -> bytes:
+    """Numbers as their byte planes, of which the upper ones are nearly empty."""
+    return _packed(values.view(np.uint8).reshape(-1, values.itemsize).T, "u1")
+
+
+def _unpacked_planes(raw: bytes, kind: str) -> np.ndarray:
+    planes = _unpacked(raw, "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as the byte planes of their steps, of which the upper ones are nearly empty."""
-    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8")
-    return _packed(steps.view(np.uint8).reshape(-1, 8).T, "u1")
+    """Ascending keys by their steps."""
+    return _packed_planes(np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8"))
 
 
 def _unpacked_keys(raw: bytes) -> np.ndarray:
-    planes = _unpacked(raw, "u1").reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64).view(np.int64)
+    return np.cumsum(_unpacked_planes(raw, "<u8"), dtype=np.uint64).view(np.int64)
 
 
 GATHERED = pa.schema([
     ("asked", pa.bool_()), ("batch", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("good", pa.binary()),
-    ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.bool_())), ("one", pa.binary()),
-    ("pair", pa.binary()), ("close", pa.int64()), ("of_all", pa.int64()),
+    ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.bool_())), ("words", pa.binary()),
+    ("code", pa.binary()),
 ])
 _GATHERED_SQL = (
     "asked boolean, batch bigint, part bigint, keys binary, n binary, good binary, ids array<bigint>, sizes array<bigint>, "
-    "targets array<boolean>, one binary, pair binary, close bigint, of_all bigint"
+    "targets array<boolean>, words binary, code binary"
 )
 
 
@@ -178,17 +197,18 @@ def _gathered(flagged: DataFrame, parts: int) -> DataFrame:
         table = pa.Table.from_batches(held).combine_chunks()
         ids, texts, good = (table.column(i).combine_chunks() for i in range(3))
         flags = good.to_numpy(zero_copy_only=False).astype(bool)
-        units = Units(texts, parts)
+        units = Units.of_texts(texts)
         number = uuid.uuid4().int >> 65
         docs = {
             "asked": False, "batch": number, "ids": ids.to_pylist(), "sizes": units.n.tolist(), "targets": flags.tolist(),
-            "one": _packed(units.one, "<i4"), "pair": _packed(units.pair, "<i4"), "close": units.close, "of_all": units.all,
+            "words": _packed_planes(units.words.astype("<u8")), "code": _packed_planes(units.code.astype("<i4")),
         }
         yield pa.RecordBatch.from_pylist([docs], schema=GATHERED)
-        split = [np.split(x, units.bounds[1:]) for x in (units.keys, *units.counts(flags))]
+        known, bounds = units.parts(parts)
+        split = [np.split(x, bounds[1:]) for x in (units.keys, *units.counts(flags))]
         asked = [
             {"asked": True, "batch": number, "part": int(part), "keys": _packed_keys(k), "n": _packed(n, "<i8"), "good": _packed(g, "<i8")}
-            for part, k, n, g in zip(units.asked, *split, strict=True)
+            for part, k, n, g in zip(known, *split, strict=True)
         ]
         for at in range(0, len(asked), 1000):
             yield pa.RecordBatch.from_pylist(asked[at : at + 1000], schema=GATHERED)
@@ -255,14 +275,13 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
         found = found.sort_by("part")
         n, g = (np.concatenate([_unpacked(x.as_py(), "<i8") for x in found.column(c)]) for c in ("n", "good"))
         row = docs.slice(0, 1).to_pylist()[0]
-        sizes, of_all = np.array(row["sizes"], dtype=np.int64), row["of_all"]
-        scale = float(g[of_all]) / max(1, int(n[of_all]))
-        one, pair = (_unpacked(row[c], "<i4").astype(np.int64) for c in ("one", "pair"))
-        near, far = mean_losses(one, pair, sizes, np.array(row["targets"]), row["close"], of_all, n, g, vocabulary, scale)
+        sizes = np.array(row["sizes"], dtype=np.int64)
+        units = Units(_unpacked_planes(row["words"], "<u8"), _unpacked_planes(row["code"], "<i4").astype(np.int64), sizes)
+        near, far = mean_losses(units, np.array(row["targets"]), n, g, vocabulary)
         columns = [pa.array(row["ids"], pa.int64()), pa.array(sizes), pa.array(near), pa.array(far), pa.array(near - far)]
         return pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    asking = documents.select("batch", "ids", "sizes", "targets", "one", "pair", "close", "of_all").groupBy("batch")
+    asking = documents.select("batch", "ids", "sizes", "targets", "words", "code").groupBy("batch")
     answered = sums.select("batch", "part", "n", "good").groupBy("batch")
     scored = asking.cogroup(answered).applyInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
     written = materialise(scored, "scores", rows_at_once=100)
