@@ -39,6 +39,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """The size of what ``df`` reads, as the optimizer knows it, or of its texts where it does not."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
 def words_of(text: Column) -> Column:
     """The maximal runs of characters that are not white space; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), "")

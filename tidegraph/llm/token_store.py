@@ -8,7 +8,7 @@ where every chunk's planes lie and where every document starts, so a reader can
 any range of ids by touching only the chunks that hold it.
 
 ``write_tokens`` range-partitions documents by id, tokenizes and encodes them in that
-order and writes one shard per partition, of about ``SHARD_BYTES`` of text.  Every attempt
+order and writes one shard per partition, of about ``SHARD_BYTES`` of the input.  Every attempt
 of a task writes a file of its own, and only the file of the attempt that Spark accepted
 is named in what ``write_tokens`` returns; what a lost attempt left is never read.  Memory
 is bounded by one chunk, one document and the shard's index.  Null and empty texts are documents
@@ -30,14 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import input_bytes
 from .tokens import encoder
 
 MAGIC = b"TGPLANE1"
 CHUNK_IDS = 1 << 16
 END_ID = 0
 LEVEL = 3
-#: Text that one shard holds, about.
-SHARD_BYTES = 32 << 20
+#: Bytes of the input, as the optimizer knows its files, for each shard.
+SHARD_BYTES = 16 << 20
 
 
 def to_planes(ids: np.ndarray, unit: str = "bit") -> list[bytes]:
@@ -184,8 +185,7 @@ def write_tokens(
     spark = df.sparkSession
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not shards:
-        size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+        shards = max(spark.sparkContext.defaultParallelism, -(-input_bytes(df, text_col) // SHARD_BYTES))
     place = ["doc_id", F.xxhash64("text")]
     ordered = narrow.repartitionByRange(shards, *place).sortWithinPartitions(*place)
 
