@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ UNIT_PRIOR, PAIR_PRIOR = 8.0, 8.0
 #: Bytes of text in a batch, and about so many for each part of the count table.
 BATCH_BYTES = 8 << 20
 PART_BYTES = 8 << 20
+#: The parts are added up in so many turns, which divides the shuffled bytes on disk.
+SLICES = 4
 
 # Keys have 56 bits; those of words are odd and all others even.
 KEY_BITS = 56
@@ -180,18 +183,18 @@ def _unpacked_keys(raw: bytes) -> np.ndarray:
 
 
 GATHERED = pa.schema([
-    ("asked", pa.bool_()), ("batch", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("good", pa.binary()),
+    ("slice", pa.int32()), ("batch", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("good", pa.binary()),
     ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.bool_())), ("words", pa.binary()),
     ("code", pa.binary()),
 ])
 _GATHERED_SQL = (
-    "asked boolean, batch bigint, part bigint, keys binary, n binary, good binary, ids array<bigint>, sizes array<bigint>, "
+    "slice int, batch bigint, part bigint, keys binary, n binary, good binary, ids array<bigint>, sizes array<bigint>, "
     "targets array<boolean>, words binary, code binary"
 )
 
 
 def _gathered(flagged: DataFrame, parts: int) -> DataFrame:
-    """For each batch one row of its documents, and one of what it has ``asked`` of each part of the count table."""
+    """For each batch one row of its documents (slice -1), and one of what it asks of each part of the count table."""
 
     def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -200,14 +203,14 @@ def _gathered(flagged: DataFrame, parts: int) -> DataFrame:
         units = Units.of_texts(texts)
         number = uuid.uuid4().int >> 65
         docs = {
-            "asked": False, "batch": number, "ids": ids.to_pylist(), "sizes": units.n.tolist(), "targets": flags.tolist(),
+            "slice": -1, "batch": number, "ids": ids.to_pylist(), "sizes": units.n.tolist(), "targets": flags.tolist(),
             "words": _packed_planes(units.words.astype("<u8")), "code": _packed_planes(units.code.astype("<i4")),
         }
         yield pa.RecordBatch.from_pylist([docs], schema=GATHERED)
         known, bounds = units.parts(parts)
         split = [np.split(x, bounds[1:]) for x in (units.keys, *units.counts(flags))]
         asked = [
-            {"asked": True, "batch": number, "part": int(part), "keys": _packed_keys(k), "n": _packed(n, "<i8"), "good": _packed(g, "<i8")}
+            {"slice": int(part) % SLICES, "batch": number, "part": int(part), "keys": _packed_keys(k), "n": _packed(n, "<i8"), "good": _packed(g, "<i8")}
             for part, k, n, g in zip(known, *split, strict=True)
         ]
         for at in range(0, len(asked), 1000):
@@ -263,12 +266,16 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     """
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     good = target.select(F.col(target.columns[0]).cast("long").alias("doc_id")).distinct().withColumn("is_good", F.lit(True))
-    flagged = narrow.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
+    # texts meet their labels by one sort-merge join at every size
+    flagged = narrow.join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    gathered = materialise(_gathered(flagged, 1 + size // PART_BYTES), "units", by="asked")
-    documents = gathered.where("NOT asked")
-    sums = materialise(_added(gathered.where("asked")), "ngrams", rows_at_once=100)
-    discard_part(gathered, "asked=true")
+    gathered = materialise(_gathered(flagged, 1 + size // PART_BYTES), "units", by="slice")
+    documents = gathered.where("slice = -1")
+    answers = []
+    for number in range(SLICES):
+        answers.append(materialise(_added(gathered.where(F.col("slice") == number)), "ngrams", rows_at_once=100))
+        discard_part(gathered, f"slice={number}")
+    sums = reduce(DataFrame.union, answers)
     vocabulary = max(1, sums.agg(F.sum("words")).first()[0] or 0)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -285,5 +292,5 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     answered = sums.select("batch", "part", "n", "good").groupBy("batch")
     scored = asking.cogroup(answered).applyInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
     written = materialise(scored, "scores", rows_at_once=100)
-    discard(documents, sums)
+    discard(documents, *answers)
     return written
