@@ -326,3 +326,29 @@ def test_short_items_and_rows_without_ids(spark):
     finally:
         decontaminate.BLOCK_CHARS = before
     assert sorted(map(str, again)) == sorted(map(str, kept.collect()))
+
+
+def test_compiled_rules_equal_the_model(spark):
+    """The column expression against the same model in numpy, and a score of exactly one half."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(400, 3)), 2)
+    names = ["a", "b", "c"]
+    model = rule_ensemble.fit(x, ((x[:, 0] > 0) & (x[:, 1] < 0.5) | (r.random(400) < 0.1)).astype(float), names)
+    total = np.full(len(x), model.bias)
+    for rule, weight in model.rules:
+        total += weight * rule_ensemble._holds(rule, x, names)
+    for name, low, high, weight in model.linear:
+        total += weight * np.clip(x[:, names.index(name)], low, high)
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "i int, a double, b double, c double")
+    features = {n: F.col(n) for n in names}
+    got = [s for _, s in sorted(map(tuple, df.select("i", model.column(features).alias("s")).collect()))]
+    assert model.rules and np.allclose(got, 1 / (1 + np.exp(-np.clip(total, -30, 30))), rtol=1e-12)
+    half = df.select(rule_ensemble.Model(0.0).column(features).alias("s")).first().s
+    assert half == 0.5
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    rows = spark.createDataFrame([(1, "one two", 1.0), (1, "one two", 1.0), (None, None, 0.0)], "doc_id bigint, text string, score double")
+    scored, _ = rule_ensemble.classify(rows, labels)  # nothing to learn from: every score is one half, which counts as good
+    assert [(x.score, x.predicted) for x in scored.collect()] == [(0.5, 1)] * 3
+    assert rule_ensemble.classify(rows.limit(0), labels)[0].count() == 0
