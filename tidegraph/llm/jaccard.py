@@ -57,6 +57,8 @@ CELLS_PER_EDIT = 32
 HOT_ROWS = 500
 #: Nearest pairs of two components that a block proposes at first, and how much more each time some were left out.
 NEAREST, NEAREST_GROWTH = 4, 16
+#: Proposed pairs that a block holds before it keeps the nearest ones.
+PAIRS_HELD = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -280,6 +282,17 @@ def _near(scheme: Scheme, n: np.ndarray, comps: np.ndarray, side: np.ndarray, sk
             yield i, other[close], differ[close]
 
 
+def _closest(comps: np.ndarray, pairs: np.ndarray, nearest: int) -> tuple[np.ndarray, bool]:
+    """Of pairs (u, v, differ) the nearest few of every two components, and whether any were left out."""
+    low, high = np.sort(comps[pairs[:2]], axis=0)
+    order = np.lexsort((pairs[2], high, low))
+    first = np.ones(len(order), dtype=bool)  # the first pair of two components
+    first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    kept = order[np.arange(len(order)) - begin < nearest]
+    return pairs[:, kept], len(kept) < len(order)
+
+
 def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest: int) -> DataFrame:
     """Pairs (hub, leaf, more) in buckets (sig, doc, comp) that lie in two components and may link.
 
@@ -308,19 +321,16 @@ def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int, neare
     def run(table: pa.Table) -> pa.Table:
         docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "comp", "side", "n"))
         held = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")]
-        found = list(_near(Scheme(percent), n, comps, side, held))
-        if not found:
-            return _PAIRS.empty_table()
-        u = np.concatenate([np.full(len(o), i) for i, o, _ in found])
-        v, differ = (np.concatenate([x[k] for x in found]) for k in (1, 2))
-        low, high = np.minimum(comps[u], comps[v]), np.maximum(comps[u], comps[v])
-        order = np.lexsort((differ, high, low))
-        fresh = np.ones(len(order), dtype=bool)  # the first pair of two components
-        fresh[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        kept = order[np.arange(len(order)) - begin < nearest]
-        more = np.full(len(kept), len(kept) < len(order))
-        a, b = docs[u[kept]], docs[v[kept]]
+        kept, fresh, waiting, more = np.empty((3, 0), np.int64), [], 0, False
+        for i, other, differ in _near(Scheme(percent), n, comps, side, held):
+            fresh.append(np.stack([np.full(len(other), i), other, differ]))
+            waiting += len(other)
+            if waiting > max(PAIRS_HELD, kept.shape[1]):
+                kept, cut = _closest(comps, np.concatenate([kept, *fresh], axis=1), nearest)
+                fresh, waiting, more = [], 0, more or cut
+        kept, cut = _closest(comps, np.concatenate([kept, *fresh], axis=1), nearest)
+        (u, v), more = kept[:2], np.full(kept.shape[1], more or cut)
+        a, b = docs[u], docs[v]
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], schema=_PAIRS)
 
     return spread.groupBy("sig", "i", "j").applyInArrow(run, "hub bigint, leaf bigint, more boolean")
