@@ -52,7 +52,7 @@ SEEDS = 4
 SLICES = 4
 #: Bytes of sketches that one block of the exact comparison may hold, and documents.
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 1024
-CELLS_PER_EDIT = 32
+CELLS_PER_EDIT = 8
 #: Rows of one signature that a join keeps together; more are dealt over so many more keys.
 HOT_ROWS = 500
 #: Nearest pairs of two components that a block proposes at first, and how much more each time some were left out.
