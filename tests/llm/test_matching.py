@@ -109,6 +109,32 @@ def test_jaccard_with_crowded_signatures(spark, monkeypatch):
     assert sorted(tuple(x) for x in jaccard.jaccard_components(df, width=1, percent=80).collect()) == wanted
 
 
+def test_jaccard_hands_on_no_pairs_of_a_crowd(spark, monkeypatch):
+    """A crowd just beyond the threshold, which sketches cannot tell apart: no table grows beyond the rows of its buckets."""
+    written = []
+
+    def counted(df, name, *more):
+        made = materialise(df, name, *more)
+        written.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(250):
+        out = set(r.sample(range(200), 13))
+        texts.append(" ".join(f"n{i}.{k}" if k in out else w for k, w in enumerate(base)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = sorted(tuple(x) for x in jaccard.jaccard_components(df, width=1, percent=80).collect())
+    wanted = brute_components(texts, 1, 80)
+    assert got == wanted and len({c for _, _, c in wanted}) > 50
+    names = [name for name, _ in written]
+    members = dict(written)["members"]
+    assert names.count("links") > 2 and members > 1000  # the last step was reached
+    assert max(rows for _, rows in written[names.index("members") :]) <= members
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(r.randint(0, 60), r.randint(0, 60)) for _ in range(30)] + [(500, i) for i in range(600, 680)] + [(3, 3)]

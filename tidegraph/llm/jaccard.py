@@ -13,14 +13,14 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join runs in these steps:
 3. A bucket is the set of documents under one signature.  Buckets with the same members
    count once.  Every member is compared with its bucket's smallest document only, and,
    where the links found leave the bucket in several components, with its largest.
-4. Buckets that are still open are compared in blocks of bounded size: sketches bound
-   the distance of two sets from below, and of pairs of different components that may
-   link by that bound the nearest few are verified.  While some were left out and their
-   components are still apart, the step repeats with many more of them.
+4. Buckets that are still open are compared in blocks of bounded size.  Sketches bound
+   the distance of two sets from below, and a block hands on its members that may link
+   with one of another component by that bound.  Their sets then meet in the same blocks,
+   where every such pair is verified, and a block gives the links that join components.
 
 Joins by signature deal a signature that many documents share over several keys.
-So no step emits the pairs of a group, and none loses a link that would join two
-components.  Signatures without elements are not emitted: bands with small parts have
+So no step emits the pairs of a group (a block gives fewer rows than it has members),
+and none loses a link that would join two components.  Signatures without elements are not emitted: bands with small parts have
 spare parts, of which linked sets agree in as many more, and a set with more empty
 selections than that falls back, in addition, to a second, third and fourth partitioning,
 as does every set that agrees with it only in empty ones.
@@ -50,15 +50,13 @@ SUB_PARTS = 3
 SEEDS = 4
 #: Signatures are matched one slice of their range after the other, which divides the shuffled bytes on disk.
 SLICES = 4
-#: Bytes of sketches that one block of the exact comparison may hold, and documents.
-BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 1024
+#: Bytes of sets that one block of the exact comparison may hold, and documents.
+BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 1024
 CELLS_PER_EDIT = 8
 #: Rows of one signature that a join keeps together; more are dealt over so many more keys.
 HOT_ROWS = 500
-#: Nearest pairs of two components that a block proposes at first, and how much more each time some were left out.
+#: Nearest partners of a member that a block verifies at first, and how many times more while some are still apart from it.
 NEAREST, NEAREST_GROWTH = 4, 16
-#: Proposed pairs that a block holds before it keeps the nearest ones.
-PAIRS_HELD = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -282,25 +280,13 @@ def _near(scheme: Scheme, n: np.ndarray, comps: np.ndarray, side: np.ndarray, sk
             yield i, other[close], differ[close]
 
 
-def _closest(comps: np.ndarray, pairs: np.ndarray, nearest: int) -> tuple[np.ndarray, bool]:
-    """Of pairs (u, v, differ) the nearest few of every two components, and whether any were left out."""
-    low, high = np.sort(comps[pairs[:2]], axis=0)
-    order = np.lexsort((pairs[2], high, low))
-    first = np.ones(len(order), dtype=bool)  # the first pair of two components
-    first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    kept = order[np.arange(len(order)) - begin < nearest]
-    return pairs[:, kept], len(kept) < len(order)
+def _near_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Members (sig, i, j, side, doc, comp) of blocks, of buckets (sig, doc, comp), that may link with one of another component there.
 
-
-def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """Pairs (hub, leaf, more) in buckets (sig, doc, comp) that lie in two components and may link.
-
-    A bucket is cut into blocks of bounded size and every pair of blocks is compared by
-    sketches, a lower bound of the distance, so no linked pair is missed.  Of two
-    components a pair of blocks gives its ``nearest`` pairs, and says in ``more`` whether it left any out.
+    A bucket is cut into blocks of bounded size and every pair of blocks (i, j) is compared by
+    sketches, a lower bound of the distance, so no linked pair is missed.
     """
-    sized = members.join(sketches.select("doc", F.length("sketch").alias("bytes")), "doc")
+    sized = members.join(sketches.select("doc", (F.col("n") * 8).alias("bytes")), "doc")
     size = sized.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_DOCS), F.col("bytes") / F.lit(BLOCK_BYTES)))
     size = materialise(size.select("sig", "n", blocks.cast("int").alias("blocks")), "sizes")
@@ -319,24 +305,51 @@ def _residual_pairs(members: DataFrame, sketches: DataFrame, percent: int, neare
     )
 
     def run(table: pa.Table) -> pa.Table:
-        docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "comp", "side", "n"))
+        comps, side, n = (table.column(c).to_numpy() for c in ("comp", "side", "n"))
         held = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")]
-        kept, fresh, waiting, more = np.empty((3, 0), np.int64), [], 0, False
-        for i, other, differ in _near(Scheme(percent), n, comps, side, held):
-            fresh.append(np.stack([np.full(len(other), i), other, differ]))
-            waiting += len(other)
-            if waiting > max(PAIRS_HELD, kept.shape[1]):
-                kept, cut = _closest(comps, np.concatenate([kept, *fresh], axis=1), nearest)
-                fresh, waiting, more = [], 0, more or cut
-        kept, cut = _closest(comps, np.concatenate([kept, *fresh], axis=1), nearest)
-        (u, v), more = kept[:2], np.full(kept.shape[1], more or cut)
-        a, b = docs[u], docs[v]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], schema=_PAIRS)
+        near = np.zeros(len(n), dtype=bool)
+        for i, other, _ in _near(Scheme(percent), n, comps, side, held):
+            near[i] = near[other] = True
+        return table.select(["sig", "i", "j", "side", "doc", "comp"]).filter(pa.array(near))
 
-    return spread.groupBy("sig", "i", "j").applyInArrow(run, "hub bigint, leaf bigint, more boolean")
+    return spread.groupBy("sig", "i", "j").applyInArrow(run, "sig bigint, i int, j int, side int, doc bigint, comp bigint")
 
 
-_PAIRS = pa.schema([("hub", pa.int64()), ("leaf", pa.int64()), ("more", pa.bool_())])
+def _joining(scheme: Scheme, comps: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links that join different components of the members, by place; ``comps`` is changed to the components that they make.
+
+    Every pair that sketches cannot rule out is verified, the nearest ones of a member first, unless its components were joined before.
+    """
+    n = np.array([len(x) for x in sets])
+    drawn = [sketch(x, sketch_cells(scheme.distance(2 * len(x)))) for x in sets]
+    places = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(n)[:-1])
+    own = np.zeros(1 + max(int(x.max()) for x in places), dtype=bool)
+    for i, other, differ in _near(scheme, n, comps, side, drawn):
+        other, take = other[np.argsort(differ, kind="stable")], NEAREST
+        own[places[i]] = True
+        while len(other):
+            now, other = other[:take], other[take:]
+            begin = np.cumsum(n[now]) - n[now]
+            common = np.add.reduceat(own[np.concatenate([places[o] for o in now])], begin, dtype=np.int64)
+            for o in now[100 * common >= scheme.percent * (n[now] + n[i] - common)]:
+                if comps[o] != comps[i]:
+                    yield i, int(o)
+                    comps[comps == comps[o]] = comps[i]
+            other, take = other[comps[other] != comps[i]], take * NEAREST_GROWTH
+        own[places[i]] = False
+
+
+def _block_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of links that join components, fewer than members in each pair of blocks (sig, i, j)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, side, comps = table.column("doc").to_numpy(), table.column("side").to_numpy(), np.array(table.column("comp").to_numpy())
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        found = np.array(list(_joining(Scheme(percent), comps, side, held)), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": docs[found[:, 0]], "v": docs[found[:, 1]]})
+
+    joined = near.join(sets, "doc").select("sig", "i", "j", "side", "doc", "comp", "items")
+    return joined.groupBy("sig", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
 def _buckets(signatures: DataFrame, copies: DataFrame) -> DataFrame:
@@ -388,16 +401,21 @@ def _components(documents: DataFrame, width: int, percent: int) -> DataFrame:
     links: DataFrame | None = None
     found, residual, labelled = None, members.withColumn("comp", F.col("doc")), members
 
+    def follow(more: DataFrame) -> None:
+        """The components by all links so far."""
+        nonlocal links, found
+        links = more if links is None else links.union(more)
+        if found is None or not more.isEmpty():
+            found = materialise(connected_components(links), "components")
+
     def settle(pairs: DataFrame) -> None:
         """Verify pairs, follow all links so far, and keep the buckets that lie in several components."""
-        nonlocal links, found, residual
+        nonlocal residual
         ends = pairs.select(F.explode(F.array("hub", "leaf")).alias("doc"))
         sets = materialise(_sets(of_ids(named, "doc_id", ends), width), "sets")
         more = materialise(_verified(pairs, sets.dropDuplicates(["doc"]), percent), "links", 200)
         discard(sets)
-        links = more if links is None else links.union(more)
-        if found is None or not more.isEmpty():
-            found = materialise(connected_components(links), "components")
+        follow(more)
         labelled = residual.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
             "sig", "doc", F.coalesce("component", "doc").alias("comp")
         )
@@ -405,6 +423,9 @@ def _components(documents: DataFrame, width: int, percent: int) -> DataFrame:
         several = materialise(several.where("a < b").select("sig", "n"), "open")
         residual = materialise(_by_signature(labelled, several), "residual")
 
+    def sliced(rows: DataFrame) -> list[DataFrame]:
+        return [rows.where(F.pmod(F.xxhash64("sig"), F.lit(SLICES)) == i) for i in range(SLICES)]
+
     # Two rounds of stars around the smallest and then the largest document of each open bucket, then everything left.
     for leader in (F.min, F.max):
         lead = residual.groupBy("sig").agg(leader(F.struct("doc", "comp")).alias("lead"), F.count(F.lit(1)).alias("n"))
@@ -413,14 +434,11 @@ def _components(documents: DataFrame, width: int, percent: int) -> DataFrame:
         settle(materialise(_may_link(stars, sketches, percent), "pairs"))
         if residual.isEmpty():
             break
-    nearest = NEAREST
-    while not residual.isEmpty():
-        slices = [residual.where(F.pmod(F.xxhash64("sig"), F.lit(SLICES)) == i) for i in range(SLICES)]
-        pairs = reduce(DataFrame.union, [materialise(_residual_pairs(x, sketches, percent, nearest), "pairs") for x in slices])
-        settle(materialise(pairs.select("hub", "leaf").distinct(), "pairs"))
-        if pairs.where("more").isEmpty():
-            break
-        nearest *= NEAREST_GROWTH
+    else:
+        near = reduce(DataFrame.union, [materialise(_near_members(x, sketches, percent), "near") for x in sliced(residual)])
+        sets = materialise(_sets(of_ids(named, "doc_id", near), width).dropDuplicates(["doc"]), "sets")
+        follow(reduce(DataFrame.union, [materialise(_block_links(x, sets, percent), "links", 200) for x in sliced(near)]))
+        discard(sets)
 
     with_rep = keys.join(classes.drop("n"), ["k1", "k2"], "left")
     placed = with_rep.join(found.withColumnRenamed("node", "rep"), "rep", "left")
