@@ -19,7 +19,7 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join runs in these steps:
    where every such pair is verified, and a block gives the links that join components.
 
 Joins by signature deal a signature that many documents share over several keys.
-So no step emits the pairs of a group (a block gives fewer rows than it has members),
+So no step emits the pairs of a group (a pair of blocks gives no more rows than it has members),
 and none loses a link that would join two components.  Signatures without elements are not emitted: bands with small parts have
 spare parts, of which linked sets agree in as many more, and a set with more empty
 selections than that falls back, in addition, to a second, third and fourth partitioning,
