@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
+import pyspark
 import pytest
 
 from tidegraph.plans.app import AppSession, Rejected, check, explain, graph_text
@@ -282,3 +287,29 @@ def test_format_scalar():
     values = (None, True, 3, 3.0, 2.5, "a", [1, 2.0, None], float("nan"), float("-inf"), 1e300, 1e-7, -0.0, 1e15, 123456789012345.5)
     said = ["—", "yes", "3", "3", "2.5", "a", "1, 2, —", "NaN", "-inf", "1" + "0" * 300, "0.0000001", "-0", "1" + "0" * 15, "123456789012345.5"]
     assert [format_scalar(v) for v in values] == said
+
+
+_ON_EXECUTORS = """
+import sys
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("jdbc_query",):
+    print(name, [tuple(r) for r in __spark_entry__.queries()[name](spark, sys.argv[1]).collect()])
+spark.stop()
+"""
+
+
+def test_jdbc_on_executors(spark, tmp_path):
+    """Executors are processes of their own, which see no database in the driver's memory."""
+    rows = [(0, "here", 0), (1, "left out", 1), (2, None, 2), (1 << 40, "it's", 3)]
+    spark.createDataFrame(rows, "n_nationkey long, n_name string, n_regionkey long").coalesce(1).write.parquet(f"{tmp_path}/in/nation.parquet")
+    home = tmp_path / "home"
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors write below Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    kept = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))}
+    env = kept | {"PYTHONPATH": str(Path(__file__).parent.parent), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+    got = subprocess.run([sys.executable, "-B", "-c", _ON_EXECUTORS, f"{tmp_path}/in"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert f"jdbc_query {[rows[0], *rows[2:]]}" in got.stdout, got.stderr[-2000:]
