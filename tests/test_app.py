@@ -294,7 +294,7 @@ import sys
 import __spark_entry__
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").getOrCreate()
-for name in ("jdbc_query",):
+for name in ("jdbc_query", "jdbc_version"):
     print(name, [tuple(r) for r in __spark_entry__.queries()[name](spark, sys.argv[1]).collect()])
 spark.stop()
 """
@@ -313,3 +313,4 @@ def test_jdbc_on_executors(spark, tmp_path):
     env = kept | {"PYTHONPATH": str(Path(__file__).parent.parent), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
     got = subprocess.run([sys.executable, "-B", "-c", _ON_EXECUTORS, f"{tmp_path}/in"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert f"jdbc_query {[rows[0], *rows[2:]]}" in got.stdout, got.stderr[-2000:]
+    assert "jdbc_version [('4 1099511627776',)]" in got.stdout, got.stderr[-2000:]
