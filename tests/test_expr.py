@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 
@@ -65,3 +66,43 @@ def test_caret_and_hint():
     assert problem.value.with_caret("1 + \n  = 2").endswith("  = 2\n    ^")
     assert hint("regoin", ["region", "units"]) == "; did you mean `region`?"
     assert "`units`" in hint("zzz", ["units"])
+
+
+def test_int_arithmetic_at_the_limits(spark):
+    most, root = (1 << 63) - 1, 3037000499
+    values = [None, 0, 1, -1, 2, -2, 3, root, -root, root + 1, -root - 1, 1 << 32, 1 << 62, -(1 << 62), most // 2 + 1, most // 3, most // 3 + 1, most - 1, most, MIN + 1, MIN]
+    pairs = spark.createDataFrame([(a, b) for a in values for b in values], "a long, b long")
+    rel = from_dataframe(pairs)
+    for name, expr in (("add", "a + b"), ("sub", "a - b"), ("mul", "a * b"), ("neg", "-a")):
+        rel = verbs.derive(rel, name, expr)
+
+    def fits(said):
+        return said if MIN <= said <= most else None
+
+    for a, b, *got in rel.visible().collect():
+        none = a is None or b is None
+        assert got == [*([None] * 3 if none else [fits(a + b), fits(a - b), fits(a * b)]), None if a is None else fits(-a)], (a, b)
+
+
+def test_overflow_costs_no_more_than_a_result(spark):
+    """An exception for each row that does not fit took some fifty times as long."""
+    rows = from_dataframe(spark.range(0, 400_000, 1, 4).selectExpr("id as i", "id % 5 + 9223372036854775000 as k"))
+
+    def seconds(expr):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            verbs.derive(rows, "x", expr).visible().write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    for fits, over in (("(i + 2) * (i + 3)", "(i + 2) * k"), ("i + k * 0", "i + 9999 + k"), ("i - k", "-i - 9999 - k")):
+        assert seconds(over) < 10 * seconds(fits) + 0.5, over
+
+
+def test_long_chains_stay_small(spark):
+    rel = from_dataframe(spark.createDataFrame([(1, 3)], "a long, b long"))
+    rel = verbs.derive(rel, "x", " + ".join(["a * b"] * 30))
+    for i in range(8):
+        rel = verbs.derive(rel, f"x{i}", f"{'x' if i == 0 else f'x{i - 1}'} * 2 - b")
+    assert verbs.filter_rows(rel, "x7", "gt", 0).count() == 1
